@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallybook.ledger import Ledger
 from tallybook.schemas import MONEY, QUANTITY, RATE, SEED_TOLERANCES, TABLES
-from tallybook.session import configure
+from tallybook.session import configure, scratch_path
 
 # Region key -> currency, and exchange rates (commodity, currency, date, price).
 CURRENCIES = {0: "USD", 1: "INR", 2: "EUR", 3: "GBP", 4: "BTC"}
@@ -52,6 +52,26 @@ def _text_id(column: Column) -> Column:
     return F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("long")
 
 
+# Paths of tables already written, by application, directory and table.
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def kept(build):
+    """A ledger table: derived once per session and directory, written to the
+    shared folder and read from there, as a ledger's tables are."""
+
+    def read(self: "Binding") -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.root, build.__name__)
+        if key not in _written:
+            path = scratch_path(self.spark, build.__name__)
+            build(self).write.parquet(path)
+            _written[key] = path
+        return self.spark.read.parquet(_written[key])
+
+    read.__name__, read.__doc__ = build.__name__, build.__doc__
+    return property(read)
+
+
 class Binding:
     """Ledger tables over one directory of test tables."""
 
@@ -107,14 +127,14 @@ class Binding:
             F.lit(None).cast("date").alias("closed_at"),
         )
 
-    @cached_property
+    @kept
     def accounts(self) -> DataFrame:
         rows = self.cash_accounts.unionByName(self.custody_accounts).unionByName(self.expense_accounts)
         return rows.withColumn("opened_at", F.lit("1995-01-01 00:00:00").cast("timestamp"))
 
     # ---- transactions ----
 
-    @cached_property
+    @kept
     def transactions(self) -> DataFrame:
         customers = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("payee"))
         day = _day("o_orderdate")
@@ -124,7 +144,7 @@ class Binding:
             (F.year(day) * 100 + F.month(day)).cast("long").alias("source_file_id"),
         )
 
-    @cached_property
+    @kept
     def order_sums(self) -> DataFrame:
         """Spent per order and part type."""
         price = F.col("l_extendedprice").cast("decimal(12,2)")
@@ -157,16 +177,16 @@ class Binding:
         none = {"cost_amount": QUANTITY, "cost_currency": "string", "cost_date": "date", "price": RATE, "price_currency": "string", "lot_id": "long"}
         return expense.unionByName(paid).select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
 
-    @cached_property
+    @kept
     def postings(self) -> DataFrame:
         return self._legs(-F.col("spent"))
 
-    @cached_property
+    @kept
     def quoted_postings(self) -> DataFrame:
         """The same with the order's quoted total as cash leg, which rarely balances."""
         return self._legs(-F.col("o_totalprice").cast(MONEY))
 
-    @cached_property
+    @kept
     def transaction_tags(self) -> DataFrame:
         segments = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
         return self.table("orders").join(segments, "o_custkey").select(
@@ -175,7 +195,7 @@ class Binding:
 
     # ---- prices ----
 
-    @cached_property
+    @kept
     def commodity_prices(self) -> DataFrame:
         brands = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
         return self.table("lineitem").select("l_partkey", "l_shipdate", "l_extendedprice").join(brands, "l_partkey").groupBy(
@@ -197,7 +217,7 @@ class Binding:
 
     # ---- trades ----
 
-    @cached_property
+    @kept
     def trades(self) -> DataFrame:
         """Units of a brand bought (line returned flag A, N) or sold (R) by a nation
         in one order on one day; the id orders trades of a day."""
@@ -270,7 +290,7 @@ class Binding:
         rows = self.spark.createDataFrame(list(SEED_TOLERANCES.items()), "currency string, tolerance string")
         return rows.select("currency", F.col("tolerance").cast("decimal(18,8)").alias("tolerance"))
 
-    @cached_property
+    @kept
     def budgets(self) -> DataFrame:
         """90% of a month's shipped value per part type (none for PROMO), in USD."""
         types = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_type").filter("p_type <> 'PROMO'")

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.running import BLOCK_BITS, sums_before
 from tallybook.operators.lots import KEYS, priced_dispositions, with_wash_sales
-from tallybook.schemas import HOLDING_DAYS, QUANTITY
+from tallybook.schemas import BOOKING_METHODS, HOLDING_DAYS, QUANTITY
+from tallybook.session import stored
 
 LEVEL = "decimal(38,8)"
 
@@ -157,14 +159,15 @@ def match_fifo(lots: DataFrame, sales: DataFrame, block_bits: int = BLOCK_BITS)
             piece,
         )
 
-    bought = axis(
+    # Each axis is read twice, for the chunk ranges and for the overlaps.
+    bought = stored(axis(
         lots.select(*KEYS, "id", "acquired_date", F.col("original_quantity").cast(QUANTITY).alias("units"), F.struct(*_LOT).alias("lot")),
         "acquired_date", "b_chunk", "lot",
-    )
-    sold = axis(
+    ), "purchases")
+    sold = stored(axis(
         sales.select(*KEYS, "id", "sell_date", F.col("quantity").cast(QUANTITY).alias("units"), F.struct(*_SALE).alias("sale")),
         "sell_date", "s_chunk", "sale",
-    )
+    ), "sales")
 
     def ranges(rows: DataFrame, chunk: str, side: str) -> DataFrame:
         return rows.groupBy(*KEYS, chunk).agg(F.min("lo").alias(f"{side}_lo"), F.max("hi").alias(f"{side}_hi"))
@@ -269,7 +272,8 @@ def match_lifo(lots: DataFrame, sales: DataFrame, block_bits: int = BLOCK_BITS)
         *KEYS, F.shiftright(F.col("one_before"), block_bits).alias("chunk"), "side", "major", "id",
         F.col("step_before").cast(LEVEL).alias("level"), F.col("quantity").cast(LEVEL).alias("quantity"),
     )
-    pieces = levels.groupBy(*KEYS, "chunk").applyInPandas(_stack_chunk, _PIECES)
+    # Matched once, read four times below.
+    pieces = stored(levels.groupBy(*KEYS, "chunk").applyInPandas(_stack_chunk, _PIECES), "pieces")
     lot_piece, sale_piece = F.struct(F.col("lot_id").alias("id")), F.struct(F.col("sale_id").alias("id"))
 
     inside = pieces.filter("kind = 'match'").select(
@@ -347,15 +351,22 @@ def match_hifo(lots: DataFrame, sales: DataFrame) -> DataFrame:
 def match_history(lots: DataFrame, sales: DataFrame, accounts: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Matches of accepted sales, each holding by its account's booking method."""
     methods = accounts.select(F.col("id").alias("account_id"), "booking_method")
-    sales = sales.drop("booking_method").join(methods, "account_id")
-    lots = lots.join(methods, "account_id")
+    sales = sales.join(methods, "account_id")
+    lots = lots.join(sales.select(*KEYS).distinct(), KEYS, "left_semi").join(methods, "account_id")
+    used = {row[0] for row in sales.select("booking_method").distinct().limit(len(BOOKING_METHODS) + 1).collect()}
 
     def of(rows: DataFrame, method: str) -> DataFrame:
         return rows.filter(F.col("booking_method") == method).drop("booking_method")
 
-    matched = match_fifo(of(lots, "FIFO"), of(sales, "FIFO"), block_bits)
-    matched = matched.unionByName(match_lifo(of(lots, "LIFO"), of(sales, "LIFO"), block_bits))
-    return matched.unionByName(match_hifo(of(lots, "HIFO"), of(sales, "HIFO")))
+    match = {
+        "FIFO": lambda held, sold: match_fifo(held, sold, block_bits),
+        "LIFO": lambda held, sold: match_lifo(held, sold, block_bits),
+        "HIFO": match_hifo,
+    }
+    parts = [match[m](of(lots, m), of(sales, m)) for m in BOOKING_METHODS if m in used]
+    if not parts:
+        parts = [match["HIFO"](of(lots, "HIFO"), of(sales, "HIFO"))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dispose_history(
@@ -367,9 +378,15 @@ def dispose_history(
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Dispositions of a whole history. ``lots`` are as bought
-    (``original_quantity`` is matched); ``lots.replay_lots`` gives what remains."""
-    accepted = sales.join(
-        refused_sales(lots, sales, block_bits).withColumnRenamed("sale_id", "id"), "id", "left_anti"
-    )
+    (``original_quantity`` is matched); ``lots.replay_lots`` gives what remains.
+
+    Lots, accepted sales and the positions on each axis are written to the shared
+    folder on the way: each is read several times, and a lost executor costs no
+    more than the stage it was in. Methods no account uses are left out.
+    """
+    lots = stored(lots.select(*KEYS, "original_quantity", *_LOT), "lots")
+    refused = refused_sales(lots, sales, block_bits).withColumnRenamed("sale_id", "id")
+    accepted = stored(sales.join(refused, "id", "left_anti").select(*KEYS, "quantity", *_SALE), "accepted")
     matches = match_history(lots, accepted, accounts, block_bits)
-    return with_wash_sales(priced_dispositions(matches, accounts, thresholds), lots, wash_mode)
+    priced = stored(priced_dispositions(matches, accounts, thresholds), "dispositions")
+    return with_wash_sales(priced, lots, wash_mode)
