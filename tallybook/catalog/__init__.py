@@ -2,6 +2,7 @@
 
 from tallybook.catalog import (  # noqa: F401
     balance_queries,
+    ingest_queries,
     lot_queries,
     report_queries,
 )

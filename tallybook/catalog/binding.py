@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.ledger import Ledger
+from tallybook.operators.lot_history import dispose_history
 from tallybook.schemas import MONEY, QUANTITY, RATE, SEED_TOLERANCES, TABLES
 from tallybook.session import configure, scratch_path
 
@@ -279,6 +280,27 @@ class Binding:
         """Sales from 1998 on: never short in the test data from sf0.01 up."""
         return self._sales(self.trades.filter(F.col("date") >= F.lit("1998-01-01").cast("date")))
 
+    @cached_property
+    def fifo_accounts(self) -> DataFrame:
+        """All custody accounts booked first-in-first-out."""
+        fifo = F.when(F.col("booking_method").isNotNull(), "FIFO")
+        return self.accounts.withColumn("booking_method", fifo)
+
+    @kept
+    def lot_dispositions(self) -> DataFrame:
+        """The sales' dispositions, first-in-first-out."""
+        return dispose_history(self.lots, self.sales, self.fifo_accounts).select(
+            F.xxhash64("lot_id", "sale_id").alias("id"), "lot_id", "sell_transaction_id", "quantity", "proceeds_per_unit",
+            "proceeds_currency", "gain_loss", "gain_loss_currency", "term", "wash_sale", "wash_sale_adjustment",
+        )
+
+    @cached_property
+    def custody_ledger(self) -> Ledger:
+        """The custody side with its lots and dispositions."""
+        return self.ledger.with_tables(
+            lots=self.lots, lot_dispositions=self.lot_dispositions, transactions=self.trade_transactions, postings=self.trade_postings
+        )
+
     @cached_property
     def all_sales(self) -> DataFrame:
         """All sales: many holdings run short."""

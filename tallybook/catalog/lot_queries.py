@@ -11,7 +11,6 @@ from tallybook.ledger import Ledger
 from tallybook.operators import lot_history
 from tallybook.operators import lots as lt
 from tallybook.plans import reports, summaries
-from tallybook.session import stored
 
 _QTY = "decimal(18,2)"
 
@@ -231,17 +230,11 @@ def transferred_lots(b: Binding) -> DataFrame:
 # ---- history ----
 
 
-def _fifo_dispositions(b: Binding) -> DataFrame:
-    """All custody accounts booked first-in-first-out."""
-    fifo = b.accounts.withColumn("booking_method", F.when(F.col("booking_method").isNotNull(), "FIFO"))
-    return lot_history.dispose_history(b.lots, b.sales, fifo)
-
-
 @query("J18 M6 X9 X11", """
     SELECT account_id, commodity, lot_id, sale_id, quantity::DECIMAL(18,2) AS quantity, gain_loss::DECIMAL(28,4) AS gain_loss, term FROM dispositions""",
     quantity=_QTY, gain_loss="decimal(28,4)")
 def fifo_history(b: Binding) -> DataFrame:
-    return _fifo_dispositions(b).select("account_id", "commodity", "lot_id", "sale_id", "quantity", "gain_loss", "term")
+    return lot_history.dispose_history(b.lots, b.sales, b.fifo_accounts).select("account_id", "commodity", "lot_id", "sale_id", "quantity", "gain_loss", "term")
 
 
 @query("J18 M6")
@@ -266,24 +259,13 @@ def refused_sales(b: Binding) -> DataFrame:
     return lot_history.refused_sales(b.lots, b.all_sales)
 
 
-def _traded(b: Binding) -> Ledger:
-    """The custody side as a ledger with its dispositions, stored once."""
-    gone = _fifo_dispositions(b).select(
-        F.xxhash64("lot_id", "sale_id").alias("id"), "lot_id", "sell_transaction_id", "quantity", "proceeds_per_unit", "proceeds_currency",
-        "gain_loss", "gain_loss_currency", "term", "wash_sale", "wash_sale_adjustment",
-    )
-    return b.ledger.with_tables(
-        lots=b.lots, lot_dispositions=stored(gone, "dispositions"), transactions=b.trade_transactions, postings=b.trade_postings
-    )
-
-
 @query("M10 F6", """
     SELECT l.id, l.account_id, l.commodity, (l.quantity - coalesce(gone, 0))::DECIMAL(18,2) AS quantity
     FROM lots l LEFT JOIN (SELECT lot_id, sum(quantity) AS gone FROM fifo GROUP BY 1) f ON f.lot_id = l.id
     WHERE l.quantity > coalesce(gone, 0)""", quantity=_QTY)
 def open_lots(b: Binding) -> DataFrame:
     """Lot state replayed from dispositions, what can still be sold."""
-    ledger = _traded(b)
+    ledger = b.custody_ledger
     return lt.open_lots(lt.replay_lots(ledger.lots, ledger.lot_dispositions)).select("id", "account_id", "commodity", "quantity")
 
 
@@ -297,7 +279,7 @@ def lots_of_holding(b: Binding) -> DataFrame:
     WHERE sale_id = (SELECT max(id) FROM sales)""", quantity=_QTY)
 def dispositions_of_sale(b: Binding) -> DataFrame:
     newest = b.sales.agg(F.max("sell_transaction_id")).first()[0]
-    return lt.dispositions_of(_traded(b).lot_dispositions, sell_transaction_id=newest).select("lot_id", "sell_transaction_id", "quantity")
+    return lt.dispositions_of(b.custody_ledger.lot_dispositions, sell_transaction_id=newest).select("lot_id", "sell_transaction_id", "quantity")
 
 
 _REMAINING = """
@@ -309,7 +291,7 @@ _REMAINING = """
 
 
 def _holdings(b: Binding) -> tuple[Ledger, DataFrame]:
-    ledger = _traded(b)
+    ledger = b.custody_ledger
     return ledger, summaries.registry.rebuild_all(ledger)["s_portfolio_holdings"]
 
 
@@ -352,7 +334,7 @@ def asset_allocation(b: Binding) -> DataFrame:
     total_quantity=_QTY, total_cost_basis="decimal(28,4)", market_value="decimal(28,4)")
 def refreshed_holdings(b: Binding) -> DataFrame:
     """From holdings before any sale, refreshed for the accounts that sold."""
-    ledger = _traded(b)
+    ledger = b.custody_ledger
     after = ledger.with_tables(lots=lt.replay_lots(ledger.lots, ledger.lot_dispositions))
     sellers = summaries.Affected(b.sales.select("account_id").distinct(), b.sales.select("commodity").limit(0))
     before = summaries.portfolio_holdings(ledger)
@@ -373,13 +355,13 @@ _SUMS = dict.fromkeys(["total_proceeds", "total_cost_basis", "total_gain_loss"],
 
 @query("A12 X7", _YEARLY, year="int", **_SUMS)
 def yearly_capital_gains(b: Binding) -> DataFrame:
-    return summaries.yearly_capital_gains(_traded(b))
+    return summaries.yearly_capital_gains(b.custody_ledger)
 
 
 @query("T1 A12", _YEARLY, year="int", **_SUMS)
 def refreshed_capital_gains(b: Binding) -> DataFrame:
     """The sales of 2000 arrive late."""
-    ledger = _traded(b)
+    ledger = b.custody_ledger
     late = b.trade_transactions.filter(F.year("date") == 2000)
     ids = late.select(F.col("id").alias("sell_transaction_id"))
     before = ledger.with_tables(lot_dispositions=ledger.lot_dispositions.join(ids, "sell_transaction_id", "left_anti"))
@@ -397,7 +379,7 @@ _DETAIL = """
 
 
 def _detail(b: Binding, part: str) -> DataFrame:
-    ledger = _traded(b)
+    ledger = b.custody_ledger
     ids = ledger.lot_dispositions.select(F.col("id").alias("disposition_id"), "sell_transaction_id")
     report = reports.capital_gains_report(ledger, summaries.yearly_capital_gains(ledger), 1999, "USD")
     return report[part].join(ids, "disposition_id").select(
@@ -420,4 +402,4 @@ def wash_sales(b: Binding) -> DataFrame:
     SELECT jurisdiction, term, 'USD' AS currency, sum(gain_loss)::DECIMAL(28,4) AS total_gain_loss, count(*)::BIGINT AS disposition_count
     FROM dispositions GROUP BY 1, 2""", total_gain_loss="decimal(28,4)")
 def gains_by_jurisdiction(b: Binding) -> DataFrame:
-    return reports.gains_by_jurisdiction(reports.capital_gains_detail(_traded(b)))
+    return reports.gains_by_jurisdiction(reports.capital_gains_detail(b.custody_ledger))

@@ -160,6 +160,7 @@ def with_ledger(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{name} AS ({CTES[name].strip()})" for name in _ORDER if name in needed)
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(opening):
+            return f"{opening}{ctes},\n{body[len(opening):]}"
     return f"WITH {ctes}\n{body}"

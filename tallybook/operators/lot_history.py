@@ -369,7 +369,7 @@ def match_history(lots: DataFrame, sales: DataFrame, accounts: DataFrame, block_
     return reduce(DataFrame.unionByName, parts)
 
 
-def dispose_history(
+def dispose_accepted(
     lots: DataFrame,
     sales: DataFrame,
     accounts: DataFrame,
@@ -377,16 +377,30 @@ def dispose_history(
     wash_mode: str = "recorded",
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
-    """Dispositions of a whole history. ``lots`` are as bought
-    (``original_quantity`` is matched); ``lots.replay_lots`` gives what remains.
+    """Dispositions of sales known not to exceed their holding.
 
-    Lots, accepted sales and the positions on each axis are written to the shared
-    folder on the way: each is read several times, and a lost executor costs no
-    more than the stage it was in. Methods no account uses are left out.
+    Lots, sales, the positions on each axis and the result are written to the
+    shared folder on the way: each is read several times, and a lost executor
+    costs no more than the stage it was in.
     """
     lots = stored(lots.select(*KEYS, "original_quantity", *_LOT), "lots")
-    refused = refused_sales(lots, sales, block_bits).withColumnRenamed("sale_id", "id")
-    accepted = stored(sales.join(refused, "id", "left_anti").select(*KEYS, "quantity", *_SALE), "accepted")
-    matches = match_history(lots, accepted, accounts, block_bits)
+    sales = stored(sales.select(*KEYS, "quantity", *_SALE), "accepted")
+    matches = match_history(lots, sales, accounts, block_bits)
     priced = stored(priced_dispositions(matches, accounts, thresholds), "dispositions")
     return with_wash_sales(priced, lots, wash_mode)
+
+
+def dispose_history(
+    lots: DataFrame,
+    sales: DataFrame,
+    accounts: DataFrame,
+    thresholds: Mapping[str, int] = HOLDING_DAYS,
+    wash_mode: str = "recorded",
+    block_bits: int = BLOCK_BITS,
+) -> DataFrame:
+    """Dispositions of a whole history. ``lots`` are as bought
+    (``original_quantity`` is matched); ``lots.replay_lots`` gives what remains.
+    Sales beyond their holding are left out (``refused_sales`` lists them)."""
+    refused = refused_sales(lots, sales, block_bits).withColumnRenamed("sale_id", "id")
+    accepted = sales.join(refused, "id", "left_anti")
+    return dispose_accepted(lots, accepted, accounts, thresholds, wash_mode, block_bits)
