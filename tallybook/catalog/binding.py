@@ -325,7 +325,7 @@ class Binding:
 
     # ---- statements ----
 
-    @cached_property
+    @kept
     def statement_rows(self) -> DataFrame:
         """Events as raw statement rows: dates and amounts as text, money in for
         purchases and signups."""

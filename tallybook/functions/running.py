@@ -29,13 +29,33 @@ def sums_before(
     """Add ``<v>_before``: the sum of ``v`` over earlier rows of the same keys in
     (``major``, ``row_id``) order. ``row_id`` is a long, unique within its key.
 
-    A window over the whole key would put a hot key into one task. Instead the
-    sum is split in three: whole earlier ``major`` values (one row each), whole
-    earlier blocks of ``2**block_bits`` ids within the ``major`` value (one row
-    each), and rows within the block, of which there are at most the block size.
-    Only the last step moves rows, once, on (keys, major, block).
+    Keys with at most ``2**block_bits`` rows take a plain window: one shuffle.
+    Larger keys, of which there can be at most one per ``2**block_bits`` rows,
+    are told apart by a broadcast of just those keys and go block-wise; where
+    there are none, that branch is dropped at run time.
     """
     keys = list(keys)
+    large = F.broadcast(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1 << block_bits).select(*keys)
+    )
+    w = Window.partitionBy(*keys).orderBy(major, row_id).rowsBetween(Window.unboundedPreceding, -1)
+    small = df.join(large, keys, "left_anti").select(
+        *df.columns,
+        *[F.coalesce(F.sum(v).over(w), _zero(df, v)).cast(_sum_type(df, v)).alias(f"{v}_before") for v in values],
+    )
+    return small.unionByName(_blockwise(df.join(large, keys, "left_semi"), keys, major, row_id, values, block_bits))
+
+
+def _blockwise(
+    df: DataFrame, keys: list[str], major: str, row_id: str, values: Sequence[str], block_bits: int
+) -> DataFrame:
+    """The same for keys of any size.
+
+    The sum is split in three: whole earlier ``major`` values (one row each),
+    whole earlier blocks of ``2**block_bits`` ids within the ``major`` value (one
+    row each), and rows within the block, of which there are at most the block
+    size. Only the last step moves rows, once, on (keys, major, block).
+    """
     day, block = [*keys, major], [*keys, major, "_block"]
     rows = df.withColumn("_block", F.shiftright(F.col(row_id), block_bits))
     blocks = rows.groupBy(*block).agg(*[F.sum(v).alias(v) for v in values])

@@ -11,6 +11,7 @@ from tallybook.functions.amounts import gain
 from tallybook.functions.running import BLOCK_BITS, sums_before
 from tallybook.operators.prices import latest_prices
 from tallybook.schemas import DEFAULT_HOLDING_DAYS, HOLDING_DAYS, QUANTITY, RATE
+from tallybook.session import stored
 
 KEYS = ["account_id", "commodity"]
 RATIO = "decimal(28,8)"
@@ -249,7 +250,9 @@ def book_sales(
         F.col("id").alias("demand_id"), *KEYS, F.col("quantity").alias("demand"), "booking_method"
     )
     refused = shortfalls(lots, demands).select("demand_id")
-    taken = take_lots(lots, demands.join(refused, "demand_id", "left_anti"), block_bits)
+    # One row per holding, read several times below.
+    accepted = stored(demands.join(refused, "demand_id", "left_anti"), "demands")
+    taken = take_lots(lots, accepted, block_bits)
     sale = sales.select(
         F.col("id").alias("sale_id"), "sell_transaction_id", "sell_date", "proceeds_per_unit", "proceeds_currency"
     )
@@ -257,7 +260,7 @@ def book_sales(
         *KEYS, F.col("id").alias("lot_id"), F.col("demand_id").alias("sale_id"), F.col("taken").alias("quantity"),
         "acquired_date", "cost_price", "cost_currency",
     ).join(sale, "sale_id")
-    return with_wash_sales(priced_dispositions(matches, accounts, thresholds), lots)
+    return with_wash_sales(stored(priced_dispositions(matches, accounts, thresholds), "dispositions"), lots)
 
 
 # ---- sale preview -----------------------------------------------------------
@@ -452,8 +455,9 @@ def transfer_lots(lots: DataFrame, transfers: DataFrame, block_bits: int = BLOCK
     """
     demands = transfer_demands(transfers)
     refused = shortfalls(lots, demands).select("demand_id")
+    accepted = stored(demands.join(refused, "demand_id", "left_anti"), "demands")
     taken = (
-        take_lots(lots, demands.join(refused, "demand_id", "left_anti"), block_bits)
+        take_lots(lots, accepted, block_bits)
         .select("id", F.col("demand_id").alias("transfer_id"), "taken")
         .join(transfers.select("transfer_id", "to_account_id"), "transfer_id")
     )
