@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.schemas import TABLES
+from tallybook.session import stored
 
 
 @dataclass(frozen=True)
@@ -34,5 +35,11 @@ class Ledger:
             for name in cls.__dataclass_fields__
         })
 
+    def stored(self) -> "Ledger":
+        """The same tables written to the shared folder as a new version and read
+        back. Changes are built on stored tables, so that a chain of them does
+        not repeat the work of the ones before."""
+        return Ledger(**{name: stored(table, name) for name, table in self.tables().items()})
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in self.__dataclass_fields__}

@@ -103,6 +103,7 @@ def test_import(spark, folder):
     rules = spark.createDataFrame(RULES, TABLES["categorization_rules"])
     raw = statements.read_statements(spark, str(folder), recursive=False).withColumn("source_file_id", F.lit(5).cast("long"))
     done = ingest.import_rows(ledger, raw, MAPPING, "Assets:Bank", rules)
+    done = ingest.Imported(done.ledger.stored(), done.stats, done.affected)
     assert rows(done.stats, "total", "imported", "skipped") == [(5, 3, 2)]
     assert rows(done.ledger.accounts, "name", "type") == [
         ("Assets:Bank", "Assets"), ("Expenses:Coffee", "Expenses"), ("Expenses:Uncategorized", "Expenses"), ("Income:Salary", "Income")]
@@ -110,8 +111,9 @@ def test_import(spark, folder):
     assert (done.affected.date_from.isoformat(), done.affected.date_to.isoformat()) == ("2024-01-15", "2024-01-17")
     # the same rows from another file are all near duplicates
     again = ingest.import_rows(done.ledger, raw.withColumn("source_file_id", F.lit(6).cast("long")), MAPPING, "Assets:Bank", rules)
-    assert rows(again.stats, "imported", "skipped") == [(0, 5)] and again.ledger.postings.count() == 6
-    undone = changes.undo_imports(again.ledger, spark.createDataFrame([(5,)], "source_file_id long"))
+    after = again.ledger.stored()
+    assert rows(again.stats, "imported", "skipped") == [(0, 5)] and after.postings.count() == 6
+    undone = changes.undo_imports(after, spark.createDataFrame([(5,)], "source_file_id long"))
     assert undone.ledger.postings.count() == 0 and undone.ledger.raw_extractions.count() == 5
     kept = ingest.import_rows(ledger, raw, None, "Assets:Bank", rules)
     assert kept.ledger.raw_extractions.count() == 5 and rows(kept.stats, "needs_mapping", "skipped") == [(True, 5)]
@@ -143,12 +145,13 @@ def test_submit_and_amend(spark, make):
     start = _broker(spark, make)
     done = changes.submit_transactions(start, *_batch(make))
     assert rows(done.exceptions, "transaction_id", "rule") == [(3, "unbalanced"), (4, "insufficient_lots")]
-    assert rows(done.ledger.lots, "id", "quantity", "cost_price") == [(10, 6, 100)]
-    assert rows(done.ledger.lot_dispositions, "lot_id", "quantity", "gain_loss", "term") == [(10, 4, 80, "short")]
-    assert rows(done.ledger.prices, "commodity", "date", "price")[0] == ("X", "2024-01-02", 100)
+    ledger = done.ledger.stored()
+    assert rows(ledger.lots, "id", "quantity", "cost_price") == [(10, 6, 100)]
+    assert rows(ledger.lot_dispositions, "lot_id", "quantity", "gain_loss", "term") == [(10, 4, 80, "short")]
+    assert rows(ledger.prices, "commodity", "date", "price")[0] == ("X", "2024-01-02", 100)
 
     updates = make("uuid string, delete boolean, date date", [("b", True, None), ("a", False, "2024-01-05"), ("zz", True, None)])
-    after = changes.amend_transactions(done.ledger, updates)
+    after = changes.amend_transactions(ledger, updates)
     # the deleted sale frees what the later one needs
     assert rows(after.ledger.lots, "quantity", "acquired_date") == [(3, "2024-01-05")]
     assert rows(after.exceptions, "rule", "detail") == [("unknown_uuid", "zz")]
@@ -156,9 +159,9 @@ def test_submit_and_amend(spark, make):
 
     new = make("uuid string, " + LEGS.replace("transaction_id long, account string", "account_id long"), [
         ("a", 12, 1, 20, "X", 50, "USD"), ("a", 13, 2, -1000, "USD", None, None)])
-    replaced = changes.amend_transactions(done.ledger, make("uuid string, delete boolean", [("a", False)]), new)
+    replaced = changes.amend_transactions(ledger, make("uuid string, delete boolean", [("a", False)]), new)
     assert rows(replaced.ledger.lots, "id", "quantity", "cost_price") == [(12, 9, 50)]
-    bad = changes.amend_transactions(done.ledger, make("uuid string, delete boolean", [("a", False)]), new.filter("id = 12"))
+    bad = changes.amend_transactions(ledger, make("uuid string, delete boolean", [("a", False)]), new.filter("id = 12"))
     assert rows(bad.exceptions, "rule") == [("unbalanced",)] and bad.ledger.lots.count() == 1
 
 
