@@ -295,7 +295,7 @@ def _holdings(b: Binding) -> tuple[Ledger, DataFrame]:
     return ledger, summaries.registry.rebuild_all(ledger)["s_portfolio_holdings"]
 
 
-@query("A9 J7 M14 M10", f"""
+@query("A9 J7 M14 M10 E1", f"""
     WITH {_REMAINING}
     SELECT account_id, commodity, 'USD' AS cost_currency, quantity::DECIMAL(18,2) AS total_quantity, cost::DECIMAL(28,4) AS total_cost_basis,
            latest_price::DECIMAL(18,2) AS latest_price, latest_price_date, (quantity * latest_price::DECIMAL(18,2))::DECIMAL(28,4) AS market_value,

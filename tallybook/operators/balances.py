@@ -80,8 +80,8 @@ def tree_balances(
 def daily_totals(postings: DataFrame, transactions: DataFrame) -> DataFrame:
     """``(account_id, currency, date, day_total, transaction_count)``.
 
-    Postings are first summed per transaction, so the distinct count is a plain
-    count afterwards and a hot account is spread over its transactions.
+    Spark aggregates by key and transaction first and then by key, so a hot
+    account is spread over its transactions before it is counted.
     """
     return (
         dated_postings(
