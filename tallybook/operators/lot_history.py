@@ -12,7 +12,8 @@ booking methods alike. Accepted sales are then matched:
   events are matched on their own; what is left of them, at most one pop and one
   push interval each, is matched chunk by chunk, and the resulting level ranges
   are overlaps again.
-* HIFO - a priority queue, scanned in order.
+* HIFO - a priority queue, scanned in order; large holdings are split by cost
+  first, each sale into what it takes from either part.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.functions.running import BLOCK_BITS, sums_before
+from tallybook.functions.running import BLOCK_BITS, maxima_before, sums_before
 from tallybook.operators.lots import KEYS, priced_dispositions, with_wash_sales
 from tallybook.schemas import BOOKING_METHODS, HOLDING_DAYS, QUANTITY
 from tallybook.session import stored
@@ -327,11 +328,79 @@ def _scan_hifo(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["lot_id", "sale_id", "quantity"])
 
 
-def match_hifo(lots: DataFrame, sales: DataFrame) -> DataFrame:
-    """Priority-queue matching of (accepted) sales, streamed in event order."""
+NODE = [*KEYS, "node"]
+
+
+def _pivots(work: DataFrame, limit: int) -> DataFrame:
+    """Nodes with too many rows and the value that halves their lots: by cost, or
+    by id where all cost the same. At most one node per ``limit`` rows."""
+    lot = F.col("side") == 0
+    cost, id_ = F.when(lot, F.col("cost_price")), F.when(lot, F.col("id"))
+    sizes = work.groupBy(*NODE).agg(
+        F.count(F.lit(1)).alias("n"), F.count(id_).alias("lots"),
+        F.min(cost).alias("lo"), F.max(cost).alias("hi"), F.percentile_approx(cost, 0.5).alias("mid"),
+        F.min(id_).alias("id_lo"), F.max(id_).alias("id_hi"), F.percentile_approx(id_, 0.5).alias("id_mid"),
+    ).filter((F.col("n") > limit) & (F.col("lots") > 1))
+    return sizes.select(
+        *NODE, "lo", "hi", F.least(F.greatest("mid", "lo"), "hi").alias("mid"),
+        "id_hi", F.least(F.greatest("id_mid", "id_lo"), "id_hi").alias("id_mid"),
+    )
+
+
+def _split_nodes(work: DataFrame, pivots: DataFrame, block_bits: int) -> DataFrame:
+    """Split each pivot's node into the lots sold first and the others, and every
+    sale into what it takes from either.
+
+    Sales take from the first half while it lasts. Let X be its purchases less
+    all sales so far; what it could not deliver so far is the largest -X to
+    date, or 0, and a sale passes on by how much that grows.
+    """
+    marked = work.join(F.broadcast(pivots), NODE, "left")
+    columns = work.columns
+    same = F.col("lo") == F.col("hi")
+    by_cost = F.when(F.col("mid") < F.col("hi"), F.col("cost_price") > F.col("mid")).otherwise(F.col("cost_price") == F.col("hi"))
+    by_id = F.when(F.col("id_mid") < F.col("id_hi"), F.col("id") <= F.col("id_mid")).otherwise(F.col("id") < F.col("id_hi"))
+    hot = marked.filter(F.col("hi").isNotNull()).withColumn("first", F.when(same, by_id).otherwise(by_cost))
+    lots = hot.filter("side = 0").withColumn("node", F.col("node") * 2 + F.when(F.col("first"), 0).otherwise(1))
+
+    step = F.when(F.col("side") == 0, F.col("quantity")).otherwise(-F.col("quantity")).cast(QUANTITY)
+    events = hot.filter("side = 1 or first").select(*columns, step.alias("step"))
+    levels = sums_before(events, NODE, "major", "id", ["step"], block_bits)
+    short = levels.withColumn("short", (-(F.col("step_before") + F.col("step"))).cast(LEVEL)).drop("step_before", "step")
+    seen = maxima_before(short, NODE, "major", "id", ["short"], block_bits)
+    zero = F.lit(0).cast(LEVEL)
+    before = F.greatest(zero, F.col("short_before"))
+    passed = (F.greatest(before, F.col("short")) - before).cast(QUANTITY)
+    parts = F.array(
+        F.struct((F.col("node") * 2).alias("node"), (F.col("quantity") - F.col("passed")).cast(QUANTITY).alias("quantity")),
+        F.struct((F.col("node") * 2 + 1).alias("node"), F.col("passed").alias("quantity")),
+    )
+    rest = [c for c in columns if c not in ("node", "quantity")]
+    sales = seen.filter("side = 1").withColumn("passed", passed).select(*rest, F.explode(parts).alias("p")).select(
+        *rest, "p.node", "p.quantity"
+    ).filter("quantity > 0")
+    untouched = marked.filter(F.col("hi").isNull())
+    return untouched.select(*columns).unionByName(lots.select(*columns)).unionByName(sales.select(*columns))
+
+
+def match_hifo(lots: DataFrame, sales: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """Priority-queue matching of (accepted) sales.
+
+    Holdings of at most ``2**block_bits`` rows are scanned in event order, one
+    task each. Larger ones are first split by cost, again and again, until their
+    parts are that small; a part left with a single lot needs no scan.
+    """
     costs = lots.select(F.col("id"), F.lit(0).alias("side"), "cost_price")
-    events = _events(lots, sales).join(costs, ["id", "side"], "left")
-    ordered = events.repartition(*KEYS).sortWithinPartitions(*KEYS, "major", "id")
+    limit = 1 << block_bits
+    work = stored(
+        _events(lots, sales).join(costs, ["id", "side"], "left").withColumn("node", F.lit(1).cast("long")), "events"
+    )
+    split = False
+    while True:
+        pivots = stored(_pivots(work, limit), "pivots")
+        if pivots.isEmpty():
+            break
+        work, split = stored(_split_nodes(work, pivots, block_bits), "events"), True
 
     def scan(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in _scan_hifo(batches):
@@ -339,9 +408,20 @@ def match_hifo(lots: DataFrame, sales: DataFrame) -> DataFrame:
             out.insert(0, "account_id", key[0])
             yield out
 
-    pairs = ordered.groupBy(*KEYS).applyInPandas(
+    small, single = work, None
+    if split:
+        sizes = work.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"))
+        large = F.broadcast(sizes.filter(F.col("n") > limit).select(*NODE))
+        small = work.join(large, NODE, "left_anti")
+        rest = work.join(large, NODE, "left_semi")
+        sold = rest.filter("side = 1").select(*NODE, F.col("id").alias("sale_id"), "quantity")
+        single = rest.filter("side = 0").select(*NODE, F.col("id").alias("lot_id")).join(sold, NODE)
+    ordered = small.repartition(*NODE).sortWithinPartitions(*NODE, "major", "id")
+    pairs = ordered.groupBy(*NODE).applyInPandas(
         scan, "account_id long, commodity string, lot_id long, sale_id long, quantity decimal(18,8)"
     )
+    if single is not None:
+        pairs = pairs.unionByName(single.select(*pairs.columns))
     return _with_attributes(pairs, lots, sales)
 
 
@@ -361,7 +441,7 @@ def match_history(lots: DataFrame, sales: DataFrame, accounts: DataFrame, block_
     match = {
         "FIFO": lambda held, sold: match_fifo(held, sold, block_bits),
         "LIFO": lambda held, sold: match_lifo(held, sold, block_bits),
-        "HIFO": match_hifo,
+        "HIFO": lambda held, sold: match_hifo(held, sold, block_bits),
     }
     parts = [match[m](of(lots, m), of(sales, m)) for m in BOOKING_METHODS if m in used]
     if not parts:
