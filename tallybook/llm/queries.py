@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import piece_agenda
+from tallybook.llm import differencing, piece_agenda
 from tallybook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and where they lie in which sequence."""
+    return differencing.pack(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False
+    )
+
+
 @query
 def op9_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with an end id, and the text decoded from them."""
