@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import differencing, piece_agenda
+from tallybook.llm import differencing, piece_agenda, robust_outliers
 from tallybook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,14 @@ def op3_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict."""
+    return robust_outliers.verdicts(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 @query
 def op9_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with an end id, and the text decoded from them."""
