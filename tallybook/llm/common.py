@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallybook.session import stored
 
-__all__ = ["WORDS", "bytes_words", "fields", "read", "stored", "whole_text"]
+__all__ = ["WORDS", "bytes_words", "read", "slices", "stored", "whole_text"]
 
 # Words of the contracts: runs of anything but ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -29,7 +29,21 @@ def bytes_words(text: str) -> list[bytes]:
     return text.encode("utf-8").split()
 
 
-def fields(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
-    """Named columns of Arrow batches as Python lists."""
-    for batch in batches:
-        yield tuple(batch.column(n).to_pylist() for n in names)
+#: Bytes of text that a task turns over at a time.
+SLICE = 2_000_000
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """An Arrow batch in parts of bounded size, each with a column's values; a
+    single larger value is a part by itself."""
+    start, values = 0, []
+    array = batch.column(batch.schema.get_field_index(column))
+    held = 0
+    for i, value in enumerate(array):
+        values.append(value.as_py())
+        held += len(values[-1] or ()) * (4 if pa.types.is_list(array.type) else 1) + 16
+        if held >= SLICE:
+            yield batch.slice(start, i + 1 - start), values
+            start, held, values = i + 1, 0, []
+    if values:
+        yield batch.slice(start), values

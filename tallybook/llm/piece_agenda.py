@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -25,9 +26,60 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Segments a worker remembers; when they are so many, it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Longer segments are encoded without being remembered.
 LONG_SEGMENT = 64
+#: Characters of text that a task turns into ids at a time.
+SLICE = 2_000_000
+#: Stands where a symbol has been merged into the one before it.
+GONE = -1
+
+
+class PairTable:
+    """Place in the order and merged symbol of a pair of symbols, looked up for whole arrays.
+
+    A hash table of a few levels: what does not find its slot free goes to the
+    next level, so a lookup is one comparison per level.
+    """
+
+    def __init__(self, splits: np.ndarray, none: int):
+        self.none, self.levels = none, []
+        keys = splits[:, 0] << 32 | splits[:, 1]
+        left = np.arange(len(keys))
+        while len(left) or not self.levels:
+            bits = max(10, int(len(left)).bit_length() + 2)
+            factor = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.levels) * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+            slots = self._slots(keys[left], factor, bits)
+            here = np.full(1 << bits, -1, np.int64)
+            here[slots] = left
+            won = here[slots] == left
+            held = np.full(1 << bits, -1, np.int64)
+            held[slots[won]] = keys[left[won]]
+            self.levels.append((factor, bits, held, here))
+            left = left[~won]
+        self.places = np.append(splits[:, 2], none).astype(np.int32)
+        self.products = np.append(splits[:, 3], GONE).astype(np.int32)
+
+    @staticmethod
+    def _slots(keys: np.ndarray, factor: np.uint64, bits: int) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * factor
+        mixed ^= mixed >> np.uint64(29)
+        return (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) << 32 | (b.astype(np.int64) & 0xFFFFFFFF)
+        found = np.full(keys.shape, len(self.places) - 1, np.int64)
+        for factor, bits, held, here in self.levels:
+            slots = self._slots(keys, factor, bits)
+            hit = held[slots] == keys
+            found[hit] = here[slots[hit]]
+        return found
+
+    def order(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.places[self._find(a, b)]
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.products[self._find(a, b)]
 
 
 class Agenda:
@@ -56,31 +108,33 @@ class Agenda:
         # Line ends stand in no piece, so they too are cut off.
         cut = "" if any("\n" in p for p in self.id_of) else "\n"
         self.segments = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + "|\n" * bool(cut)).findall
+        # Symbols as numbers: pieces by their ids, then characters that only occur within pieces.
+        symbols = dict(self.id_of)
+        for piece in self.id_of:
+            for c in piece:
+                symbols.setdefault(c, len(self.spelled) + len(symbols))
+        self.none = np.int32(len(places))
+        self.symbol_of_point = np.full(0x110000, GONE - 1, np.int32)
+        for c, n in symbols.items():
+            if len(c) == 1:
+                self.symbol_of_point[ord(c)] = n
+        size = max(symbols.values()) + 1
+        self.id_of_symbol = np.full(size - GONE + 1, -1, np.int32)  # negative symbols look at its end
+        self.id_of_symbol[: len(self.spelled)] = np.arange(len(self.spelled))
+        splits = [
+            (symbols[piece[:k]], symbols[piece[k:]], self.order[piece], symbols[piece])
+            for piece in self.order
+            for k in range(1, len(piece))
+            if piece[:k] in symbols and piece[k:] in symbols
+        ]
+        self.pairs = PairTable(np.array(splits, np.int64), int(self.none))
         self.met: dict[str, tuple[int, ...]] = {}
         #: Segments encoded since the last check().
         self.fresh: list[tuple[str, tuple[int, ...]]] = []
 
     def symbols(self, segment: str) -> list[str]:
-        """The segment's symbols when no pair is left on the agenda."""
-        return self._by_list(segment) if len(segment) <= LONG_SEGMENT else self._by_heap(segment)
-
-    def _by_list(self, segment: str) -> list[str]:
-        """The agenda of a short segment is a list in text order: its least place is the next merge."""
-        order, none = self.order.get, len(self.spelled)
-        symbols = list(segment)
-        agenda = [order(a + b, none) for a, b in zip(segment, segment[1:])]
-        while agenda and (best := min(agenda)) < none:
-            i = agenda.index(best)
-            merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
-            del agenda[i]
-            if i:
-                agenda[i - 1] = order(symbols[i - 1] + merged, none)
-            if i < len(agenda):
-                agenda[i] = order(merged + symbols[i + 1], none)
-        return symbols
-
-    def _by_heap(self, segment: str) -> list[str]:
-        """The agenda of a segment of any length is a heap; pairs merged away meanwhile are passed over."""
+        """The segment's symbols when no pair is left on its agenda, a heap;
+        pairs merged away meanwhile are passed over."""
         order = self.order.get
         symbols: list[str | None] = list(segment)
         n = len(symbols)
@@ -122,16 +176,79 @@ class Agenda:
             self.met[segment] = ids
         return ids
 
+    def meet(self, segments: set[str]) -> None:
+        """Encode segments not met yet, those of one length at a time."""
+        if len(self.met) + len(segments) > REMEMBERED:
+            self.met.clear()
+        lengths: dict[int, list[str]] = {}
+        for segment in segments:
+            lengths.setdefault(len(segment), []).append(segment)
+        for length, alike in lengths.items():
+            if length > LONG_SEGMENT:
+                continue
+            for at in range(0, len(alike), 50_000):
+                self._meet_alike(alike[at : at + 50_000], length)
+
+    def _meet_alike(self, segments: list[str], length: int) -> None:
+        """The agendas of segments of one length as rows of a matrix.
+
+        A row holds the place in the order of the pair that begins at each
+        symbol; each round merges every row's first pair and looks up the two
+        pairs that it makes.
+        """
+        points = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(-1, length)
+        symbols = self.symbol_of_point[points]
+        agenda = np.full((len(segments), length), self.none, np.int32)
+        agenda[:, :-1] = self.pairs.order(symbols[:, :-1], symbols[:, 1:])
+        after = np.tile(np.arange(1, length + 1), (len(segments), 1))
+        before = after - 2
+        rows = np.arange(len(segments))
+        while True:
+            left = agenda[rows].argmin(1)
+            place = agenda[rows, left]
+            rows, left, place = (x[place < self.none] for x in (rows, left, place))
+            if not len(rows):
+                break
+            right = after[rows, left]
+            symbols[rows, left] = merged = self.pairs.merged(symbols[rows, left], symbols[rows, right])
+            symbols[rows, right], agenda[rows, right] = GONE, self.none
+            follows = after[rows, left] = after[rows, right]
+            inner = follows < length
+            agenda[rows, left] = self.none
+            r, l, f = rows[inner], left[inner], follows[inner]
+            before[r, f] = l
+            agenda[r, l] = self.pairs.order(merged[inner], symbols[r, f])
+            leads = before[rows, left]
+            inner = leads >= 0
+            r, l = rows[inner], leads[inner]
+            agenda[r, l] = self.pairs.order(symbols[r, l], merged[inner])
+        stay = symbols != GONE
+        ends = np.cumsum(stay.sum(1)).tolist()
+        ids = self.id_of_symbol[symbols[stay]]
+        odd = set(np.flatnonzero(((symbols != GONE) & (self.id_of_symbol[symbols] < 0)).any(1)).tolist())
+        ids, start = ids.tolist(), 0
+        for i, (segment, end) in enumerate(zip(segments, ends)):
+            if i in odd:
+                self.segment_ids(segment)
+            else:
+                self.met[segment] = found = tuple(ids[start:end])
+                self.fresh.append((segment, found))
+            start = end
+
+    def encode_batch(self, texts: list[str | None], add_end: bool = False) -> Iterator[list[int]]:
+        """Each text's ids; the end id behind them if asked for. Nulls are empty texts."""
+        met = self.met
+        split = [self.segments(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        self.meet({s for segments in split for s in segments if s not in met})
+        end = [self.end] if add_end else []
+        for segments in split:
+            ids: list[int] = []
+            for segment in segments:
+                ids.extend(met.get(segment) or self.segment_ids(segment))
+            yield ids + end
+
     def encode(self, text: str | None, add_end: bool = False) -> list[int]:
-        """A text's ids; the end id behind them if asked for."""
-        ids: list[int] = []
-        if text:
-            met, take = self.met.get, ids.extend
-            for segment in self.segments(MARK + text.replace(" ", MARK)):
-                take(met(segment) or self.segment_ids(segment))
-        if add_end:
-            ids.append(self.end)
-        return ids
+        return next(self.encode_batch([text], add_end))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control ids vanish, bytes are read as UTF-8, one leading space goes."""
@@ -171,14 +288,28 @@ def agenda(model: str) -> Agenda:
     return Agenda(model)
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` with a column that ``make`` (a batch to an Arrow array) fills; one of that name is replaced."""
+def _slices(batch: pa.RecordBatch, column: str, size) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A batch in parts of bounded size, each with a column's values; a single larger value is a part."""
+    start, held, values = 0, 0, []
+    for i, value in enumerate(batch.column(column)):
+        values.append(value.as_py())
+        held += size(value)
+        if held >= SLICE:
+            yield batch.slice(start, i + 1 - start), values
+            start, held, values = i + 1, 0, []
+    if values:
+        yield batch.slice(start), values
+
+
+def _with(df: DataFrame, name: str, kind: T.DataType, source: str, size, make) -> DataFrame:
+    """``df`` with a column that ``make`` fills from the values of another; one of that name is replaced."""
     schema = T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, kind)])
     kept = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), make(batch)], [*kept, name])
+            for part, values in _slices(batch, source, size):
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), make(values)], [*kept, name])
 
     return df.mapInArrow(run, schema)
 
@@ -186,26 +317,26 @@ def _with(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
 def encode(
     df: DataFrame, model: str, text: str = "text", out: str = "ids", add_end: bool = True, check: bool = True
 ) -> DataFrame:
-    """Add the ids of a text column. ``check`` holds every segment that a batch
-    brings for the first time against the sentencepiece library and fails on
-    any difference."""
+    """Add the ids of a text column. ``check`` holds every segment that comes up
+    for the first time against the sentencepiece library, a batch at a time, and
+    fails on any difference."""
 
-    def make(batch: pa.RecordBatch) -> pa.Array:
+    def make(texts: list[str | None]) -> pa.Array:
         own = agenda(model)
-        found = [own.encode(t, add_end) for t in batch.column(text).to_pylist()]
+        found = pa.array(own.encode_batch(texts, add_end), pa.list_(pa.int32()))
         if check:
             own.check()
         own.fresh.clear()
-        return pa.array(found, pa.list_(pa.int32()))
+        return found
 
-    return _with(df, out, T.ArrayType(T.IntegerType()), make)
+    return _with(df, out, T.ArrayType(T.IntegerType()), text, lambda x: len(x.as_buffer() or b"") if x.is_valid else 0, make)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of an id column; null ids give an empty text."""
 
-    def make(batch: pa.RecordBatch) -> pa.Array:
+    def make(lists: list[list[int] | None]) -> pa.Array:
         own = agenda(model)
-        return pa.array([own.decode(x or []) for x in batch.column(ids).to_pylist()], pa.string())
+        return pa.array([own.decode(x or []) for x in lists], pa.string())
 
-    return _with(df, out, T.StringType(), make)
+    return _with(df, out, T.StringType(), ids, lambda x: 4 * len(x) if x.is_valid else 0, make)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import differencing, piece_agenda, robust_outliers
+from tallybook.llm import differencing, piece_agenda, robust_outliers, segmentations
 from tallybook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,16 @@ def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three folds of four."""
+    docs, model = read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    fold = segmentations.held_out()
+    languages = segmentations.learned(docs.filter(~fold), model)
+    rows = docs.select("doc_id", "text", fold.alias("held_out"))
+    return segmentations.predict(rows, languages, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op9_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with an end id, and the text decoded from them."""
