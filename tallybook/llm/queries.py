@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import differencing, piece_agenda, robust_outliers, segmentations
+from tallybook.llm import differencing, host_reputation, piece_agenda, robust_outliers, segmentations
 from tallybook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,74 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+#: The rules of the contract: action and host/path.
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query
+def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, deciding rule and verdict."""
+    found = host_reputation.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE_SQL["op1_host_reputation"] = r"""
+with parts as (
+  select page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host
+  from pages),
+bare as (select *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') as bare from parts),
+suffixes as (
+  select *, case when regexp_matches(bare, '^[0-9.]+$') then bare
+    else regexp_extract(bare, '(?:^|\.)((?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]*))$', 1) end as suffix from bare),
+rows as (
+  select *, case when regexp_matches(bare, '^[0-9.]+$') or length(bare) <= length(suffix) then bare
+    else regexp_extract(substr(bare, 1, greatest(0, length(bare) - length(suffix) - 1)), '([^.]*)$', 1) || '.' || suffix
+    end as domain from suffixes),
+once as (select page_id, min(suffix) as suffix, min(domain) as domain, min(host) as host from rows group by page_id),
+marked as (select doc_id, max(greatest((quality = 0)::int, (toxic = 1)::int)) as bad from labels group by doc_id),
+hosts as (
+  select suffix, domain, host, count(*) as n, sum(bad) as b from once join marked on page_id = doc_id
+  where bad is not null group by all),
+s1 as (
+  select suffix, sum(n)::double as n, sum(b)::double as b,
+    (select (coalesce(sum(b), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) from hosts)::double as p from hosts group by suffix),
+k1 as (
+  select 1 / least(0.5, greatest(0.001, coalesce(sum((b - n * p) * (b - n * p) - n * p * (1 - p)) / nullif(sum((n - 1) * (n * p * (1 - p))), 0), 0))) - 1 as k from s1),
+m1 as (select suffix, (k * p + b) / (k + n) as mean from s1, k1),
+s2 as (select suffix, domain, sum(n)::double as n, sum(b)::double as b, any_value(mean) as p from hosts join m1 using (suffix) group by suffix, domain),
+k2 as (
+  select 1 / least(0.5, greatest(0.001, coalesce(sum((b - n * p) * (b - n * p) - n * p * (1 - p)) / nullif(sum((n - 1) * (n * p * (1 - p))), 0), 0))) - 1 as k from s2),
+m2 as (select suffix, domain, (k * p + b) / (k + n) as mean from s2, k2),
+s3 as (select host, n::double as n, b::double as b, mean as p from hosts join m2 using (suffix, domain)),
+k3 as (
+  select 1 / least(0.5, greatest(0.001, coalesce(sum((b - n * p) * (b - n * p) - n * p * (1 - p)) / nullif(sum((n - 1) * (n * p * (1 - p))), 0), 0))) - 1 as k from s3),
+known as (
+  select d.host, coalesce(k * s3.p + b, k * coalesce(m2.mean, m1.mean)) as alpha,
+    coalesce(k * (1 - s3.p) + n - b, k * (1 - coalesce(m2.mean, m1.mean))) as beta
+  from (select distinct suffix, domain, host from rows) d left join m1 using (suffix) left join m2 using (suffix, domain)
+    left join s3 on s3.host = d.host, k3),
+bounds as (
+  select host, alpha / (alpha + beta)
+    - 1.6448536269514722 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) as bound from known),
+ruled as (
+  select page_id, host, path, bound, case
+    when ends_with('.' || host, '.www.example.com') and starts_with(path, '/en/') then 'www.example.com/en/'
+    when ends_with('.' || host, '.example.com') and starts_with(path, '/en/') then 'example.com/en/'
+    when ends_with('.' || host, '.net') and starts_with(path, '/es/') then 'net/es/'
+    when ends_with('.' || host, '.net') and starts_with(path, '/fr/') then 'net/fr/'
+    when ends_with('.' || host, '.com') and starts_with(path, '/') then 'com/' end as rule
+  from rows left join bounds using (host))
+select page_id, host, path, rule, case
+    when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block'
+    when bound > 0.25 then 'block' else 'allow' end as verdict
+from ruled
+"""
+
+
 @query
 def op3_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and where they lie in which sequence."""
