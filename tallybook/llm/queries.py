@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import differencing, host_reputation, piece_agenda, robust_outliers, segmentations
+from tallybook.llm import differencing, host_reputation, line_windows, piece_agenda, robust_outliers, segmentations
 from tallybook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,36 @@ from ruled
 """
 
 
+@query
+def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines of repeated three-line windows."""
+    return line_windows.remove_repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE_SQL["op2_line_windows"] = """
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line,
+    unnest(range(len(string_split(text, chr(10))))) as pos, len(string_split(text, chr(10))) as n
+  from documents where text is not null),
+windows as (
+  select *, lead(line) over w as second, lead(line, 2) over w as third from lines window w as (partition by doc_id order by pos)),
+ranked as (
+  select doc_id, pos, row_number() over (partition by line, second, third order by doc_id, pos) as place
+  from windows where pos + 2 < n),
+covered as (select distinct doc_id, pos + k as pos from ranked, range(3) r(k) where place > 1),
+marked as (
+  select l.*, c.pos is not null as gone, lag(c.pos is not null) over (partition by l.doc_id order by l.pos) as gone_before
+  from lines l left join covered c on c.doc_id = l.doc_id and c.pos = l.pos),
+found as (
+  select doc_id, string_agg(line, chr(10) order by pos) filter (not gone) as text, count(*) as n_lines,
+    count(*) filter (gone) as n_removed, count(*) filter (gone and not coalesce(gone_before, false)) as n_spans
+  from marked group by doc_id)
+select d.doc_id, case when d.text is not null then coalesce(f.text, '') end as text, coalesce(n_lines, 0) as n_lines,
+  coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans
+from documents d left join found f on f.doc_id = d.doc_id
+"""
+
+
 @query
 def op3_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and where they lie in which sequence."""
