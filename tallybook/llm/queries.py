@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import differencing, host_reputation, line_windows, piece_agenda, robust_outliers, segmentations
+from tallybook.llm import (
+    differencing,
+    host_reputation,
+    line_windows,
+    piece_agenda,
+    private_spans,
+    robust_outliers,
+    segmentations,
+)
 from tallybook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +162,14 @@ def op9_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and digest of base spans, and all spans."""
+    found = private_spans.spans(read(spark, sf_dir, "documents"))
+    counts = [private_spans.counted(F.col("base"), i).alias(f"n_{kind}") for i, kind in enumerate(private_spans.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(private_spans.rendered(F.col("base")), 256).alias("base_sha256"),
+        private_spans.rendered(F.col("spans")).alias("spans"),
+    )
