@@ -15,6 +15,7 @@ from tallybook.llm import (
     piece_agenda,
     private_spans,
     robust_outliers,
+    rotated_codes,
     segmentations,
 )
 from tallybook.llm.common import read
@@ -173,3 +174,9 @@ def op7_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(private_spans.rendered(F.col("base")), 256).alias("base_sha256"),
         private_spans.rendered(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op10_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return rotated_codes.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
