@@ -17,6 +17,7 @@ from tallybook.llm import (
     robust_outliers,
     rotated_codes,
     segmentations,
+    size_aware_join,
 )
 from tallybook.llm.common import read
 
@@ -180,3 +181,9 @@ def op7_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth."""
     return rotated_codes.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query
+def op8_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component of near copies."""
+    return size_aware_join.components(read(spark, sf_dir, "documents"))
