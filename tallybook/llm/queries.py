@@ -18,6 +18,7 @@ from tallybook.llm import (
     rotated_codes,
     segmentations,
     size_aware_join,
+    suffix_windows,
 )
 from tallybook.llm.common import read
 
@@ -187,3 +188,10 @@ def op10_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and component of near copies."""
     return size_aware_join.components(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the bytes of repeated 200-byte strings."""
+    found = suffix_windows.remove_repeated(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
