@@ -39,7 +39,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import slices, stored
@@ -141,13 +141,13 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 flat = np.concatenate(prefixes)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
+                        part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())), pa.array(light, pa.binary()),
                     ],
-                    ["doc_id", "n", "digest", "prefix", "light"],
+                    ["doc_id", "text_key", "n", "digest", "prefix", "light"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, prefix array<long>, light binary")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n int, digest binary, prefix array<long>, light binary")
 
 
 def _subset_links(classes: DataFrame, most: int) -> DataFrame:
@@ -277,10 +277,9 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(once, "members")
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``, the
-    smallest id in its component."""
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per document: ``doc_id``, ``text_key``, set size ``n``, and the ``component_id`` of sets that are not empty."""
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     signatures = stored(_signatures(named, _frequent(named)), "signatures")
     there = signatures.filter("n > 0 and doc_id is not null")
     classes = stored(
@@ -324,6 +323,28 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     labels = classes.join(found, "set_id")
     names = labels.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_digest = labels.join(names, "comp").select("digest", "component_id")
-    out = signatures.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(by_digest, "digest", "left")
-    alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
+    there = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    return signatures.select("doc_id", "text_key", "n", "digest").join(by_digest, "digest", "left").select("doc_id", "text_key", "n", there)
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``, the
+    smallest id in its component."""
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return _labelled(docs, doc_id, text).select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id, and
+    once each of rows that repeat an id and a text. Rows without an id all stay, and
+    so do texts without words."""
+    own = "_" * (1 + max(map(len, docs.columns)))  # in front of a name, it makes one that docs can't have
+    linked = stored(_labelled(docs, doc_id, text).filter("component_id is not null"), "labels")
+    first = linked.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("first_key"))
+    later = linked.join(first, "component_id").filter("doc_id != component_id or text_key != first_key")
+    later = later.select(F.col("doc_id").alias(f"{own}id"), F.col("text_key").alias(f"{own}key")).distinct()
+    rows = docs.withColumn(f"{own}long", F.col(doc_id).cast("long")).withColumn(f"{own}text", F.xxhash64(text))
+    kept = rows.join(later, (F.col(f"{own}long") == F.col(f"{own}id")) & (F.col(f"{own}text") == F.col(f"{own}key")), "left_anti")
+    again = F.row_number().over(Window.partitionBy(f"{own}long", f"{own}text").orderBy(f"{own}text"))
+    once = kept.withColumn(f"{own}again", again).filter((F.col(f"{own}again") == 1) | F.col(doc_id).isNull())
+    return once.select(*docs.columns)
