@@ -53,7 +53,7 @@ GENERATORS = [
     (PHONE, r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{3,4}){2}(?![0-9])"),
     (PHONE, r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 ]
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+OCTET = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)|0++)"
 #: Upper ends of the classes of digit counts.
 DIGITS = [8, 9, 10, 12, 15]
 #: Classes of each feature: generator, Luhn, digits, left, right, form.
