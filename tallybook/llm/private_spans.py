@@ -61,6 +61,8 @@ CLASSES = [len(GENERATORS), 2, len(DIGITS) + 1, 3, 3, 2]
 CELLS = math.prod(CLASSES)
 #: Trees, their depth, how far each goes, and the weight that holds small leaves back.
 TREES, DEPTH, RATE, HOLD = 12, 3, 0.5, 1.0
+#: Matches gathered at a time.
+STRIDE = 128
 #: Precision that added proposals of held-out documents must reach.
 PRECISION = 0.95
 
@@ -72,19 +74,33 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
         guard = text.rlike("[0-9][0-9. ()-]+[0-9]")
     else:
         guard = text.contains("@") if "@" in pattern else text.rlike(r"(?i)[(\[] ?at ?[)\]]")
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    kind_of = "array<struct<start:int,end:int,m:string,left:string,right:string>>"
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(gaps[i])
-        end = start + F.length(found[i])
-        one = F.struct(start.alias("start"), end.alias("end"), found[i].alias("m"), F.right(gaps[i], F.lit(1)).alias("left"), F.left(gaps[i + 1], F.lit(1)).alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    nothing = F.array().cast(kind_of)
-    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
-    return F.when(guard & (F.size(found) > 0), walked).otherwise(nothing)
+    none = F.array().cast("array<struct<start:int,end:int,m:string,left:string,right:string>>")
+
+    def walked(x: Column) -> Column:
+        found, gaps = x["found"], x["gaps"]
+
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(gaps[i])
+            end = start + F.length(found[i])
+            one = F.struct(
+                start.alias("start"), end.alias("end"), found[i].alias("m"), F.right(gaps[i], F.lit(1)).alias("left"),
+                F.left(gaps[i + 1], F.lit(1)).alias("right"),
+            )
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        def stride(acc: Column, k: Column) -> Column:
+            # Appending copies an array, so matches are gathered by the stride.
+            some = F.sequence(k * STRIDE, F.least((k + 1) * STRIDE, F.size(found)) - 1)
+            part = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return F.transform(F.array(part), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))[0]
+
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        strides = F.sequence(F.lit(0), ((F.size(found) - 1) / STRIDE).cast("int"))
+        return F.when(F.size(found) > 0, F.aggregate(strides, start, stride, lambda acc: acc["out"])).otherwise(none)
+
+    # An array of one binds both parts for the walk, which else would search the text again at each step.
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(guard, F.transform(F.array(both), walked)[0]).otherwise(none)
 
 
 def _digits(m: Column) -> Column:

@@ -237,7 +237,7 @@ def test_base_spans_equal_the_patterns(spark):
     rng = random.Random(6)
     bits = list("@.%+-_ ()0123é\n😀a") + ["a@b.c", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111111111111111", "+1 (443) 555-5793", "007.01.1.1", "10.0.0.00", "0.0.0.0", "2555.1.1.1", "@", "x.y"]
     texts = [None, "", *["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(500)]]
-    texts += ["a" * 30000, "1" * 30000, "1 " * 20000, "a@b" + ".c" * 20000, "+1" * 9000, "+" + "1-" * 15000 + "x", "1." * 20000, "4111111111111111 " * 700]
+    texts += ["a" * 6000, "1" * 6000, "1 " * 9000, "a@b" + ".c" * 9000, "+1" * 3000, "+" + "1-" * 9000 + "x", "1." * 6000, "4111111111111111 " * 700]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(v) for c, v in CLASHING.items()})
     rows = {r.doc_id: r for r in private_spans.spans(docs).select(
         "doc_id", private_spans.rendered(F.col("base")).alias("base"), private_spans.rendered(F.col("spans")).alias("spans")).collect()}
