@@ -245,7 +245,7 @@ def unbalanced_transactions(b: Binding) -> DataFrame:
 
 @query("X1 A21 M5", """
     SELECT id AS transaction_id, 'USD' AS currency, ((CASE WHEN sale THEN -quantity ELSE quantity END) * price)::DECIMAL(38,8) AS residual
-    FROM trades WHERE NOT sale OR date >= DATE '1998-01-01'""", residual="decimal(38,8)")
+    FROM trades""", residual="decimal(38,8)")
 def posting_weights(b: Binding) -> DataFrame:
     """Priced postings weigh amount * price in the price's currency."""
     return validation.balance_residuals(b.trade_postings)

@@ -246,10 +246,9 @@ class Binding:
 
     @cached_property
     def trade_postings(self) -> DataFrame:
-        """Trades as postings of units, priced in USD. From 1998 on sales are dated
-        so late that the test data never sells short."""
+        """Trades as postings of units, priced in USD. Many holdings run short."""
         amount = F.when(F.col("sale"), -F.col("quantity")).otherwise(F.col("quantity"))
-        return self.trades.filter(~F.col("sale") | (F.col("date") >= F.lit("1998-01-01").cast("date"))).select(
+        return self.trades.select(
             "id", F.col("id").alias("transaction_id"), "account_id", amount.cast(QUANTITY).alias("amount"),
             F.col("commodity").alias("currency"), F.lit(None).cast(QUANTITY).alias("cost_amount"),
             F.lit(None).cast("string").alias("cost_currency"), "price", F.lit("USD").alias("price_currency"),
@@ -277,8 +276,8 @@ class Binding:
 
     @cached_property
     def sales(self) -> DataFrame:
-        """Sales from 1998 on: never short in the test data from sf0.01 up."""
-        return self._sales(self.trades.filter(F.col("date") >= F.lit("1998-01-01").cast("date")))
+        """All sales: many holdings run short."""
+        return self._sales(self.trades)
 
     @cached_property
     def fifo_accounts(self) -> DataFrame:
@@ -301,11 +300,6 @@ class Binding:
             lots=self.lots, lot_dispositions=self.lot_dispositions, transactions=self.trade_transactions, postings=self.trade_postings
         )
 
-    @cached_property
-    def all_sales(self) -> DataFrame:
-        """All sales: many holdings run short."""
-        return self._sales(self.trades)
-
     @cached_property
     def tolerances(self) -> DataFrame:
         """The seed tolerances, a fixed table."""

@@ -386,8 +386,8 @@ def amended_transactions(b: Binding) -> DataFrame:
 
 
 @query("M1 A22 M5 M3", """
-    SELECT account_id, commodity, (sum(CASE WHEN sale THEN -quantity ELSE quantity END))::DECIMAL(18,2) AS held
-    FROM trades WHERE NOT sale OR date >= DATE '1998-01-01' GROUP BY 1, 2 HAVING held > 0""", held="decimal(18,2)")
+    SELECT account_id, commodity, (sum(CASE WHEN sale THEN -t.quantity ELSE t.quantity END))::DECIMAL(18,2) AS held
+    FROM trades t JOIN walk USING (account_id, commodity, id) WHERE NOT refused GROUP BY 1, 2 HAVING held > 0""", held="decimal(18,2)")
 def submitted_trades(b: Binding) -> DataFrame:
     """All trades posted in one batch against cash; what is held afterwards."""
     units = b.trade_postings

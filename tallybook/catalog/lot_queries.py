@@ -240,23 +240,64 @@ def fifo_history(b: Binding) -> DataFrame:
 @query("J18 M6")
 def booked_history(b: Binding) -> DataFrame:
     """Each account by its own booking method, with sales beyond the holding."""
-    return lot_history.dispose_history(b.lots, b.all_sales, b.accounts).select(
+    return lot_history.dispose_history(b.lots, b.sales, b.accounts).select(
         "account_id", "commodity", "lot_id", "sale_id", "quantity", "gain_loss", "term", "wash_sale"
     )
 
 
-@query("M6", """
-    WITH RECURSIVE events AS (
-        SELECT account_id, commodity, row_number() OVER (PARTITION BY account_id, commodity ORDER BY date, sale, id) AS n, id, sale, quantity FROM trades),
-    walk AS (
-        SELECT account_id, commodity, n, id, sale AS refused, CASE WHEN sale THEN 0 ELSE quantity END::DECIMAL(18,2) AS held FROM events WHERE n = 1
-        UNION ALL
-        SELECT e.account_id, e.commodity, e.n, e.id, e.sale AND e.quantity > w.held,
-               CASE WHEN NOT e.sale THEN w.held + e.quantity WHEN e.quantity > w.held THEN w.held ELSE w.held - e.quantity END::DECIMAL(18,2)
-        FROM walk w JOIN events e ON e.account_id = w.account_id AND e.commodity = w.commodity AND e.n = w.n + 1)
-    SELECT id AS sale_id FROM walk WHERE refused""")
+@query("M6", "SELECT id AS sale_id FROM walk WHERE refused")
 def refused_sales(b: Binding) -> DataFrame:
-    return lot_history.refused_sales(b.lots, b.all_sales)
+    return lot_history.refused_sales(b.lots, b.sales)
+
+
+@query("M6", """
+    SELECT id AS sale_id, CASE WHEN ((account_id - 2) // 10) % 5 >= 3 THEN 'unknown_method' ELSE 'insufficient_lots' END AS rule
+    FROM walk WHERE id IN (SELECT id FROM sales) AND (refused OR ((account_id - 2) // 10) % 5 >= 3)""")
+def unbooked_sales(b: Binding) -> DataFrame:
+    """Two nations in five book by methods that nobody knows: every sale of theirs comes back, and all refused ones."""
+    nation = ((F.col("id") - 2) / 10).cast("long") % 5
+    method = F.when(nation == 3, F.lit(None).cast("string")).when(nation == 4, F.lit("average")).otherwise(F.col("booking_method"))
+    return lot_history.unbooked_sales(b.lots, b.sales, b.accounts.withColumn("booking_method", method))
+
+
+@query("M6", """
+    WITH asked AS (SELECT account_id, commodity, min(id) AS first, floor(sum(quantity) / 2) AS half FROM lots GROUP BY 1, 2)
+    SELECT first * 2 + 1 AS demand_id, 'second_demand' AS rule FROM asked""")
+def rejected_second_sales(b: Binding) -> DataFrame:
+    """Two sales of half of every holding at once: the first is met, the second comes back."""
+    half = b.lots.groupBy("account_id", "commodity").agg(F.min("id").alias("first"), F.floor(F.sum("quantity") / 2).alias("half"))
+    methods = b.custody_accounts.select(F.col("id").alias("account_id"), "booking_method")
+    demands = half.join(methods, "account_id").select(
+        "account_id", "commodity", F.col("half").cast("decimal(18,8)").alias("demand"), "booking_method",
+        F.explode(F.array(F.col("first") * 2, F.col("first") * 2 + 1)).alias("demand_id"),
+    )
+    return lt.rejected(b.lots, demands).select("demand_id", "rule")
+
+
+def _fine(lots: DataFrame) -> DataFrame:
+    """Lots with quantities of eight decimals."""
+    return lots.withColumns({c: F.col(c).cast("decimal(18,8)") for c in ("quantity", "original_quantity")})
+
+
+@query("M8", """
+    SELECT id, commodity, round(quantity::DECIMAL(18,8) * 1.23456789::DECIMAL(18,8), 8)::DECIMAL(18,8) AS quantity FROM lots""")
+def finely_scaled_lots(b: Binding) -> DataFrame:
+    """Splits of a ratio with eight decimals."""
+    actions = b.lots.groupBy("commodity").agg(F.min("id").alias("action_id")).select(
+        "action_id", "commodity", F.lit("split").alias("action_type"), F.lit("1.23456789").cast("decimal(18,8)").alias("ratio")
+    )
+    return lt.apply_corporate_actions(_fine(b.lots), actions).select("id", "commodity", "quantity")
+
+
+@query("M8", """
+    SELECT id, commodity, (((quantity * 200000000)::HUGEINT // 3 + 1) // 2)::BIGINT AS hundred_millionths FROM lots""")
+def reverse_split_by_three(b: Binding) -> DataFrame:
+    """Thirds are rounded at the eighth decimal."""
+    actions = b.lots.groupBy("commodity").agg(F.min("id").alias("action_id")).select(
+        "action_id", "commodity", F.lit("reverse_split").alias("action_type"), F.lit(3).alias("ratio")
+    )
+    quantity = F.col("quantity") * 100000000
+    return lt.apply_corporate_actions(_fine(b.lots), actions).select("id", "commodity", quantity.cast("long").alias("hundred_millionths"))
 
 
 @query("M10 F6", """
@@ -276,10 +317,11 @@ def lots_of_holding(b: Binding) -> DataFrame:
 
 @query("F7", """
     SELECT lot_id, sale_id AS sell_transaction_id, quantity::DECIMAL(18,2) AS quantity FROM fifo
-    WHERE sale_id = (SELECT max(id) FROM sales)""", quantity=_QTY)
+    WHERE sale_id = (SELECT max(sale_id) FROM fifo)""", quantity=_QTY)
 def dispositions_of_sale(b: Binding) -> DataFrame:
-    newest = b.sales.agg(F.max("sell_transaction_id")).first()[0]
-    return lt.dispositions_of(b.custody_ledger.lot_dispositions, sell_transaction_id=newest).select("lot_id", "sell_transaction_id", "quantity")
+    held = b.custody_ledger.lot_dispositions
+    newest = held.agg(F.max("sell_transaction_id")).first()[0]
+    return lt.dispositions_of(held, sell_transaction_id=newest).select("lot_id", "sell_transaction_id", "quantity")
 
 
 _REMAINING = """

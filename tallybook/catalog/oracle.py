@@ -90,7 +90,7 @@ CTES: dict[str, str] = {
         FROM trades WHERE NOT sale""",
     "sales": """
         SELECT id, account_id, commodity, quantity, price AS proceeds, date AS sell_date, booking_method
-        FROM trades JOIN custody USING (account_id) WHERE sale AND date >= DATE '1998-01-01'""",
+        FROM trades JOIN custody USING (account_id) WHERE sale""",
     "tolerances": f"SELECT * FROM (VALUES {_TOLERANCE_ROWS}) v(currency, tolerance)",
     "budgets": f"""
         SELECT {_EXPENSE_ID} AS account_id, year_month, 'USD' AS currency, (shipped * 0.9)::DECIMAL(18,2) AS amount
@@ -121,12 +121,24 @@ CTES: dict[str, str] = {
                sum(CASE WHEN type = 'Assets' AND asset_class = 'crypto' THEN closing_balance ELSE 0 END)::DECIMAL(28,2) AS assets_crypto,
                sum(CASE WHEN type = 'Assets' AND asset_class NOT IN ('cash', 'equity', 'debt', 'crypto') THEN closing_balance ELSE 0 END)::DECIMAL(28,2) AS assets_other
         FROM monthly m JOIN accounts a ON a.id = m.account_id WHERE type IN ('Assets', 'Liabilities') GROUP BY 1, 2""",
-    # First-in-first-out matches of the sales, by overlap of cumulative quantities.
+    # A sale beyond what is held at its time is refused whole.
+    "events": """
+        SELECT account_id, commodity, row_number() OVER (PARTITION BY account_id, commodity ORDER BY date, sale, id) AS n,
+               id, sale, quantity FROM trades""",
+    "walk": """
+        SELECT account_id, commodity, n, id, sale AS refused, CASE WHEN sale THEN 0 ELSE quantity END::DECIMAL(18,2) AS held
+        FROM events WHERE n = 1
+        UNION ALL
+        SELECT e.account_id, e.commodity, e.n, e.id, e.sale AND e.quantity > w.held,
+               CASE WHEN NOT e.sale THEN w.held + e.quantity WHEN e.quantity > w.held THEN w.held ELSE w.held - e.quantity END::DECIMAL(18,2)
+        FROM walk w JOIN events e ON e.account_id = w.account_id AND e.commodity = w.commodity AND e.n = w.n + 1""",
+    "accepted": "SELECT * FROM sales WHERE id NOT IN (SELECT id FROM walk WHERE refused)",
+    # First-in-first-out matches of accepted sales, by overlap of cumulative quantities.
     "lot_axis": """
         SELECT *, sum(quantity) OVER w - quantity AS lo, sum(quantity) OVER w AS hi FROM lots
         WINDOW w AS (PARTITION BY account_id, commodity ORDER BY acquired_date, id)""",
     "sale_axis": """
-        SELECT *, sum(quantity) OVER w - quantity AS lo, sum(quantity) OVER w AS hi FROM sales
+        SELECT *, sum(quantity) OVER w - quantity AS lo, sum(quantity) OVER w AS hi FROM accepted
         WINDOW w AS (PARTITION BY account_id, commodity ORDER BY sell_date, id)""",
     "fifo": """
         SELECT l.account_id, l.commodity, l.id AS lot_id, s.id AS sale_id,
@@ -162,5 +174,5 @@ def with_ledger(sql: str) -> str:
     body = sql.strip()
     for opening in ("WITH RECURSIVE ", "WITH "):
         if body.startswith(opening):
-            return f"{opening}{ctes},\n{body[len(opening):]}"
-    return f"WITH {ctes}\n{body}"
+            return f"WITH RECURSIVE {ctes},\n{body[len(opening):]}"
+    return f"WITH RECURSIVE {ctes}\n{body}"

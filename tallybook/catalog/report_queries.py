@@ -88,7 +88,7 @@ def upserted_prices(b: Binding) -> DataFrame:
 
 @query("M3", """
     SELECT commodity, 'USD' AS currency, date, arg_max(price, id)::DECIMAL(18,8) AS price, 'transaction' AS source
-    FROM trades WHERE NOT sale OR date >= DATE '1998-01-01' GROUP BY commodity, date""")
+    FROM trades GROUP BY commodity, date""")
 def implied_prices(b: Binding) -> DataFrame:
     return px.prices_from_postings(b.trade_postings, b.trade_transactions)
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.running import BLOCK_BITS, maxima_before, sums_before
-from tallybook.operators.lots import KEYS, priced_dispositions, with_wash_sales
+from tallybook.operators.lots import KEYS, known_method, priced_dispositions, with_wash_sales
 from tallybook.schemas import BOOKING_METHODS, HOLDING_DAYS, QUANTITY
 from tallybook.session import stored
 
@@ -433,8 +433,6 @@ def match_history(lots: DataFrame, sales: DataFrame, accounts: DataFrame, block_
     methods = accounts.select(F.col("id").alias("account_id"), "booking_method")
     sales = sales.join(methods, "account_id")
     lots = lots.join(sales.select(*KEYS).distinct(), KEYS, "left_semi").join(methods, "account_id")
-    used = {row[0] for row in sales.select("booking_method").distinct().limit(len(BOOKING_METHODS) + 1).collect()}
-
     def of(rows: DataFrame, method: str) -> DataFrame:
         return rows.filter(F.col("booking_method") == method).drop("booking_method")
 
@@ -443,10 +441,19 @@ def match_history(lots: DataFrame, sales: DataFrame, accounts: DataFrame, block_
         "LIFO": lambda held, sold: match_lifo(held, sold, block_bits),
         "HIFO": lambda held, sold: match_hifo(held, sold, block_bits),
     }
-    parts = [match[m](of(lots, m), of(sales, m)) for m in BOOKING_METHODS if m in used]
-    if not parts:
-        parts = [match["HIFO"](of(lots, "HIFO"), of(sales, "HIFO"))]
-    return reduce(DataFrame.unionByName, parts)
+    # All three, whether used or not: an empty one costs little.
+    return reduce(DataFrame.unionByName, [match[m](of(lots, m), of(sales, m)) for m in BOOKING_METHODS])
+
+
+def unbooked_sales(lots: DataFrame, sales: DataFrame, accounts: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """``(sale_id, rule)`` of sales that ``dispose_history`` leaves out: beyond
+    their holding, or of an account without a known booking method."""
+    methods = accounts.select(F.col("id").alias("account_id"), F.col("booking_method").alias("_method"))
+    of = sales.join(methods, "account_id", "left")
+    unknown = of.filter(~known_method("_method")).select(F.col("id").alias("sale_id"), F.lit("unknown_method").alias("rule"))
+    known = of.filter(known_method("_method")).select(*sales.columns)
+    short = refused_sales(lots, known, block_bits).select("sale_id", F.lit("insufficient_lots").alias("rule"))
+    return unknown.unionByName(short)
 
 
 def dispose_accepted(
@@ -480,7 +487,8 @@ def dispose_history(
 ) -> DataFrame:
     """Dispositions of a whole history. ``lots`` are as bought
     (``original_quantity`` is matched); ``lots.replay_lots`` gives what remains.
-    Sales beyond their holding are left out (``refused_sales`` lists them)."""
+    Sales beyond their holding and those of unknown booking methods are left out
+    (``unbooked_sales`` lists both)."""
     refused = refused_sales(lots, sales, block_bits).withColumnRenamed("sale_id", "id")
     accepted = sales.join(refused, "id", "left_anti")
     return dispose_accepted(lots, accepted, accounts, thresholds, wash_mode, block_bits)

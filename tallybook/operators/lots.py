@@ -6,15 +6,17 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.functions.amounts import gain
 from tallybook.functions.running import BLOCK_BITS, sums_before
 from tallybook.operators.prices import latest_prices
-from tallybook.schemas import DEFAULT_HOLDING_DAYS, HOLDING_DAYS, QUANTITY, RATE
+from tallybook.schemas import BOOKING_METHODS, DEFAULT_HOLDING_DAYS, HOLDING_DAYS, QUANTITY, RATE
 from tallybook.session import stored
 
 KEYS = ["account_id", "commodity"]
-RATIO = "decimal(28,8)"
+# Two of them multiply within 38 digits, so no decimal is lost on the way.
+RATIO = "decimal(18,8)"
 
 
 def open_lots(lots: DataFrame) -> DataFrame:
@@ -130,9 +132,11 @@ def take_lots(lots: DataFrame, demands: DataFrame, block_bits: int = BLOCK_BITS)
     result is the lot's columns plus ``demand_id``, ``demand`` and ``taken`` > 0.
     Every demand sees the same snapshot. Lots ahead of a lot in booking order
     are summed block-wise, so a hot holding is spread over many tasks; a demand
-    that exceeds the holding takes all of it.
+    that exceeds the holding takes all of it, one of an unknown booking method
+    nothing (``rejected`` lists it).
     """
     booking = [*KEYS, "booking_method"]
+    demands = demands.filter(known_method())
     wanted = demands.select(*booking).distinct()
     queue = in_booking_order(open_lots(lots).join(wanted, KEYS))
     ahead = sums_before(queue, booking, "major", "minor", ["quantity"], block_bits)
@@ -143,6 +147,29 @@ def take_lots(lots: DataFrame, demands: DataFrame, block_bits: int = BLOCK_BITS)
     return met.withColumn("taken", taken).drop("major", "minor", "quantity_before")
 
 
+def known_method(method: str = "booking_method") -> Column:
+    return F.coalesce(F.col(method).isin(BOOKING_METHODS), F.lit(False))
+
+
+def rejected(lots: DataFrame, demands: DataFrame) -> DataFrame:
+    """Demands that can't be met from a snapshot, each with its ``rule``:
+    ``unknown_method``, ``second_demand`` (a holding meets the demand of the
+    smallest id; what is left for another depends on it), ``insufficient_lots``."""
+    columns = ["demand_id", *KEYS, "demand"]
+    known = demands.filter(known_method())
+    first = known.groupBy(*KEYS).agg(F.min("demand_id").alias("demand_id"))
+    met = known.join(first, [*KEYS, "demand_id"], "left_semi")
+
+    def broken(rows: DataFrame, rule: str) -> DataFrame:
+        return rows.select(*columns, F.lit(rule).alias("rule"))
+
+    return (
+        broken(demands.filter(~known_method()), "unknown_method")
+        .unionByName(broken(known.join(first, [*KEYS, "demand_id"], "left_anti"), "second_demand"))
+        .unionByName(broken(shortfalls(lots, met), "insufficient_lots"))
+    )
+
+
 def shortfalls(lots: DataFrame, demands: DataFrame) -> DataFrame:
     """Demands beyond what is held: ``(demand_id, account_id, commodity, demand, available)``."""
     held = open_lots(lots).groupBy(*KEYS).agg(F.sum("quantity").alias("available"))
@@ -241,15 +268,16 @@ def book_sales(
     thresholds: Mapping[str, int] = HOLDING_DAYS,
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
-    """Dispositions of at most one sale per holding against a lot snapshot.
+    """Dispositions of one sale per holding against a lot snapshot.
 
-    Sales beyond the holding are rejected whole (see ``shortfalls``). Several
-    sales of one holding over time are ``lot_history.dispose_history``.
+    Sales beyond the holding, further sales of a holding and those of an unknown
+    booking method are left out whole; ``rejected`` lists them. Several sales of
+    one holding over time are ``lot_history.dispose_history``.
     """
     demands = sales.select(
         F.col("id").alias("demand_id"), *KEYS, F.col("quantity").alias("demand"), "booking_method"
     )
-    refused = shortfalls(lots, demands).select("demand_id")
+    refused = rejected(lots, demands).select("demand_id")
     # One row per holding, read several times below.
     accepted = stored(demands.join(refused, "demand_id", "left_anti"), "demands")
     taken = take_lots(lots, accepted, block_bits)
@@ -398,6 +426,12 @@ def _product(actions: Column, side: str) -> Column:
     )
 
 
+def _scaled(value: Column, times: Column, over: Column, kind: T.DataType) -> Column:
+    """``value * times / over``, all with 8 decimals; the product is exact."""
+    product = value.cast(QUANTITY) * times.cast(QUANTITY)
+    return F.when(over == 1, product.cast(kind)).otherwise((product / over.cast(QUANTITY)).cast(kind))
+
+
 def apply_corporate_actions(lots: DataFrame, actions: DataFrame) -> DataFrame:
     """Scale undisposed lots by their commodity's actions.
 
@@ -412,9 +446,8 @@ def apply_corporate_actions(lots: DataFrame, actions: DataFrame) -> DataFrame:
     hit = F.col("actions").isNotNull() & ~F.col("disposed")
 
     def scale(name: str, times: Column, over: Column) -> Column:
-        kind = lots.schema[name].dataType
-        value = (F.col(name).cast(QUANTITY) * times.cast("decimal(18,6)")).cast("decimal(28,12)") / over.cast("decimal(18,6)")
-        return F.when(hit, value.cast(kind)).otherwise(F.col(name)).alias(name)
+        changed = _scaled(F.col(name), times, over, lots.schema[name].dataType)
+        return F.when(hit, changed).otherwise(F.col(name)).alias(name)
 
     changed = {
         "quantity": scale("quantity", up, down),
@@ -447,14 +480,14 @@ def transfer_lots(lots: DataFrame, transfers: DataFrame, block_bits: int = BLOCK
     """The lot table after the transfers.
 
     ``transfers(transfer_id, from_account_id, to_account_id, commodity,
-    quantity, booking_method)``, at most one per source holding. Lots keep cost
+    quantity, booking_method)``, one per source holding. Lots keep cost
     and date; the last one splits, its moved part getting a new id derived from
     the lot and the transfer. The kept part's original quantity shrinks by the
-    moved one, so a replay does not restore it. Transfers beyond the holding are
-    left out (``shortfalls(lots, transfer_demands(transfers))`` lists them).
+    moved one, so a replay does not restore it. Transfers that can't be met are
+    left out (``rejected(lots, transfer_demands(transfers))`` lists them).
     """
     demands = transfer_demands(transfers)
-    refused = shortfalls(lots, demands).select("demand_id")
+    refused = rejected(lots, demands).select("demand_id")
     accepted = stored(demands.join(refused, "demand_id", "left_anti"), "demands")
     taken = (
         take_lots(lots, accepted, block_bits)
@@ -507,9 +540,7 @@ def replay_lots(
         commodity = lots.select(F.col("id").alias("lot_id"), F.col("commodity").alias("_commodity"))
         grouped = _actions_by_commodity(actions).withColumnRenamed("commodity", "_commodity")
         later = _after(F.col("actions"), F.col("_sold_on"))
-        factor = _product(later, "up").cast("decimal(18,6)")
-        over = _product(later, "down").cast("decimal(18,6)")
-        value = ((F.col("quantity").cast(QUANTITY) * factor).cast("decimal(28,12)") / over).cast(QUANTITY)
+        value = _scaled(F.col("quantity"), _product(later, "up"), _product(later, "down"), QUANTITY)
         sold = (
             sold.select("lot_id", "sell_transaction_id", "quantity")
             .join(headers, "sell_transaction_id").join(commodity, "lot_id").join(grouped, "_commodity", "left")

@@ -63,7 +63,8 @@ def main(sf: str, names: list[str]) -> int:
         print(f"{name}: {'ok' if same else 'DIFFERS'} {len(got)}/{len(want)} rows, {seconds:.1f}s", flush=True)
         if not same:
             bad.append(name)
-            print("  spark only", [r for r in got if r not in set(want)][:3], "oracle only", [r for r in want if r not in set(got)][:3])
+            ours, theirs = set(got), set(want)
+            print("  spark only", [r for r in got if r not in theirs][:3], "oracle only", [r for r in want if r not in ours][:3], flush=True)
     print("bad:", bad)
     return len(bad)
 
