@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallybook.llm.common import slices
+
 MARK = "▁"
 #: Segments a worker remembers; when they are so many, it starts afresh.
 REMEMBERED = 500_000
 #: Longer segments are encoded without being remembered.
 LONG_SEGMENT = 64
-#: Characters of text that a task turns into ids at a time.
-SLICE = 2_000_000
+#: Segments held against the library in one text.
+CHECKED = 32
 #: Stands where a symbol has been merged into the one before it.
 GONE = -1
 
@@ -66,20 +69,15 @@ class PairTable:
         mixed ^= mixed >> np.uint64(29)
         return (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
 
-    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the order, ``none`` for pairs that spell nothing, and merged symbols."""
         keys = a.astype(np.int64) << 32 | (b.astype(np.int64) & 0xFFFFFFFF)
-        found = np.full(keys.shape, len(self.places) - 1, np.int64)
+        found = np.full(keys.shape, len(self.places) - 1, np.int32)
         for factor, bits, held, here in self.levels:
             slots = self._slots(keys, factor, bits)
             hit = held[slots] == keys
             found[hit] = here[slots[hit]]
-        return found
-
-    def order(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.places[self._find(a, b)]
-
-    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.products[self._find(a, b)]
+        return self.places[found], self.products[found]
 
 
 class Agenda:
@@ -128,9 +126,9 @@ class Agenda:
             if piece[:k] in symbols and piece[k:] in symbols
         ]
         self.pairs = PairTable(np.array(splits, np.int64), int(self.none))
-        self.met: dict[str, tuple[int, ...]] = {}
+        self.met: dict[str, bytes] = {}
         #: Segments encoded since the last check().
-        self.fresh: list[tuple[str, tuple[int, ...]]] = []
+        self.fresh: list[tuple[str, bytes]] = []
 
     def symbols(self, segment: str) -> list[str]:
         """The segment's symbols when no pair is left on its agenda, a heap;
@@ -160,7 +158,8 @@ class Agenda:
                     heappush(agenda, (p, leads, left, wider))
         return [s for s in symbols if s is not None]
 
-    def segment_ids(self, segment: str) -> tuple[int, ...]:
+    def segment_ids(self, segment: str) -> bytes:
+        """A segment's ids as 32-bit numbers."""
         ids: list[int] = []
         for symbol in self.symbols(segment):
             known = self.id_of.get(symbol)
@@ -168,13 +167,11 @@ class Agenda:
                 ids.append(known)
             else:
                 ids.extend(self.byte_id[b] for b in symbol.encode("utf-8"))
-        ids = tuple(ids)
-        self.fresh.append((segment, ids))
+        found = np.array(ids, np.int32).tobytes()
+        self.fresh.append((segment, found))
         if len(segment) <= LONG_SEGMENT:
-            if len(self.met) >= REMEMBERED:
-                self.met.clear()
-            self.met[segment] = ids
-        return ids
+            self.met[segment] = found
+        return found
 
     def meet(self, segments: set[str]) -> None:
         """Encode segments not met yet, those of one length at a time."""
@@ -199,56 +196,60 @@ class Agenda:
         points = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(-1, length)
         symbols = self.symbol_of_point[points]
         agenda = np.full((len(segments), length), self.none, np.int32)
-        agenda[:, :-1] = self.pairs.order(symbols[:, :-1], symbols[:, 1:])
-        after = np.tile(np.arange(1, length + 1), (len(segments), 1))
+        merged = np.full((len(segments), length), GONE, np.int32)
+        agenda[:, :-1], merged[:, :-1] = self.pairs.find(symbols[:, :-1], symbols[:, 1:])
+        after = np.tile(np.arange(1, length + 1, dtype=np.int32), (len(segments), 1))
         before = after - 2
         rows = np.arange(len(segments))
         while True:
             left = agenda[rows].argmin(1)
-            place = agenda[rows, left]
-            rows, left, place = (x[place < self.none] for x in (rows, left, place))
+            open_ = agenda[rows, left] < self.none
+            rows, left = rows[open_], left[open_]
             if not len(rows):
                 break
             right = after[rows, left]
-            symbols[rows, left] = merged = self.pairs.merged(symbols[rows, left], symbols[rows, right])
+            symbols[rows, left] = wider = merged[rows, left]
             symbols[rows, right], agenda[rows, right] = GONE, self.none
             follows = after[rows, left] = after[rows, right]
             inner = follows < length
             agenda[rows, left] = self.none
             r, l, f = rows[inner], left[inner], follows[inner]
             before[r, f] = l
-            agenda[r, l] = self.pairs.order(merged[inner], symbols[r, f])
+            agenda[r, l], merged[r, l] = self.pairs.find(wider[inner], symbols[r, f])
             leads = before[rows, left]
             inner = leads >= 0
             r, l = rows[inner], leads[inner]
-            agenda[r, l] = self.pairs.order(symbols[r, l], merged[inner])
+            agenda[r, l], merged[r, l] = self.pairs.find(symbols[r, l], wider[inner])
         stay = symbols != GONE
-        ends = np.cumsum(stay.sum(1)).tolist()
-        ids = self.id_of_symbol[symbols[stay]]
-        odd = set(np.flatnonzero(((symbols != GONE) & (self.id_of_symbol[symbols] < 0)).any(1)).tolist())
-        ids, start = ids.tolist(), 0
-        for i, (segment, end) in enumerate(zip(segments, ends)):
-            if i in odd:
-                self.segment_ids(segment)
-            else:
-                self.met[segment] = found = tuple(ids[start:end])
-                self.fresh.append((segment, found))
-            start = end
-
-    def encode_batch(self, texts: list[str | None], add_end: bool = False) -> Iterator[list[int]]:
-        """Each text's ids; the end id behind them if asked for. Nulls are empty texts."""
-        met = self.met
+        ids = self.id_of_symbol[symbols]
+        odd = (stay & (ids < 0)).any(1)
+        ends = 4 * np.cumsum(stay.sum(1))
+        ids = ids[stay].tobytes()
+        found = [ids[start:end] for start, end in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        for i in np.flatnonzero(odd).tolist():  # characters without a piece
+            self.segment_ids(segments[i])
+        if odd.any():
+            segments, found = ([x for x, o in zip(xs, odd.tolist()) if not o] for xs in (segments, found))
+        self.met.update(zip(segments, found))
+        self.fresh.extend(zip(segments, found))
+
+    def encode_batch(self, texts: list[str | None], add_end: bool = False) -> list[bytes]:
+        """Each text's ids as 32-bit numbers; the end id behind them if asked for. Nulls are empty texts."""
         split = [self.segments(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.meet({s for segments in split for s in segments if s not in met})
-        end = [self.end] if add_end else []
+        self.meet(set(chain.from_iterable(split)).difference(self.met))
+        end = np.array([self.end] if add_end else [], np.int32).tobytes()
+        take, long = self.met.get, self.segment_ids
+        out = []
         for segments in split:
-            ids: list[int] = []
-            for segment in segments:
-                ids.extend(met.get(segment) or self.segment_ids(segment))
-            yield ids + end
+            found = list(map(take, segments))
+            try:
+                out.append(b"".join(found) + end)
+            except TypeError:  # segments too long to be remembered
+                out.append(b"".join([long(s) if ids is None else ids for s, ids in zip(segments, found)]) + end)
+        return out
 
     def encode(self, text: str | None, add_end: bool = False) -> list[int]:
-        return next(self.encode_batch([text], add_end))
+        return np.frombuffer(self.encode_batch([text], add_end)[0], np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control ids vanish, bytes are read as UTF-8, one leading space goes."""
@@ -274,11 +275,12 @@ class Agenda:
         The library puts a word mark before a text; behind a line end, where texts
         are cut, a segment stands as it does within a text.
         """
-        lead = tuple(self.library.encode("\n"))
-        found = self.library.encode(["\n" + segment for segment, _ in self.fresh], num_threads=1)
-        for (segment, ids), expected in zip(self.fresh, found, strict=True):
-            if [*lead, *ids] != expected:
-                raise AssertionError(f"the agenda and the library differ on a segment of {len(segment)} characters")
+        start, line_end = self.library.encode("\n")
+        for at in range(0, len(self.fresh), CHECKED):
+            some = self.fresh[at : at + CHECKED]
+            own = np.frombuffer(np.int32(line_end).tobytes().join([np.int32(start).tobytes(), *(ids for _, ids in some)]), np.int32)
+            if own.tolist() != self.library.encode("\n" + "\n".join([segment for segment, _ in some])):
+                raise AssertionError("the agenda and the library differ")
         self.fresh.clear()
 
 
@@ -288,27 +290,14 @@ def agenda(model: str) -> Agenda:
     return Agenda(model)
 
 
-def _slices(batch: pa.RecordBatch, column: str, size) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """A batch in parts of bounded size, each with a column's values; a single larger value is a part."""
-    start, held, values = 0, 0, []
-    for i, value in enumerate(batch.column(column)):
-        values.append(value.as_py())
-        held += size(value)
-        if held >= SLICE:
-            yield batch.slice(start, i + 1 - start), values
-            start, held, values = i + 1, 0, []
-    if values:
-        yield batch.slice(start), values
-
-
-def _with(df: DataFrame, name: str, kind: T.DataType, source: str, size, make) -> DataFrame:
+def _with(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:
     """``df`` with a column that ``make`` fills from the values of another; one of that name is replaced."""
     schema = T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, kind)])
     kept = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, values in _slices(batch, source, size):
+            for part, values in slices(batch, source):
                 yield pa.RecordBatch.from_arrays([*map(part.column, kept), make(values)], [*kept, name])
 
     return df.mapInArrow(run, schema)
@@ -323,13 +312,14 @@ def encode(
 
     def make(texts: list[str | None]) -> pa.Array:
         own = agenda(model)
-        found = pa.array(own.encode_batch(texts, add_end), pa.list_(pa.int32()))
+        found = own.encode_batch(texts, add_end)
         if check:
             own.check()
         own.fresh.clear()
-        return found
+        ends = np.cumsum([0, *(len(ids) // 4 for ids in found)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
-    return _with(df, out, T.ArrayType(T.IntegerType()), text, lambda x: len(x.as_buffer() or b"") if x.is_valid else 0, make)
+    return _with(df, out, T.ArrayType(T.IntegerType()), text, make)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -339,4 +329,4 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
         own = agenda(model)
         return pa.array([own.decode(x or []) for x in lists], pa.string())
 
-    return _with(df, out, T.StringType(), ids, lambda x: 4 * len(x) if x.is_valid else 0, make)
+    return _with(df, out, T.StringType(), ids, make)

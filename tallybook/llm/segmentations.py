@@ -91,7 +91,7 @@ class Segmentations:
         for start in range(length + 1):
             rows, nodes = np.arange(len(words)), np.zeros(len(words), np.int32)
             for end in range(start + 1, min(length + 1, start + self.longest) + 1):
-                nodes = self.steps.order(nodes, numbers[rows, end - 1])
+                nodes = self.steps.find(nodes, numbers[rows, end - 1])[0]
                 rows, nodes = rows[nodes >= 0], nodes[nodes >= 0]
                 if not len(rows):
                     break
