@@ -229,3 +229,42 @@ def test_refresh_stream_retry(spark, make, tmp_path):
     for name in names:
         expected = summaries.registry.rebuild_one(name, whole)
         assert rows(sr.read_summary(spark, root, name, 1), *expected.columns) == rows(expected), name
+
+
+def test_adhoc_sql_only_queries(spark, make):
+    mine = make("id long", [(7,)])
+    mine.createOrReplaceTempView("t")
+    table = make("id long", [(1,), (2,)])
+    got = tables.run_query(spark, "WITH x AS (SELECT * FROM t) SELECT id FROM x WHERE id > :least ORDER BY id;", {"t": table}, {"least": 1})
+    assert rows(got) == [(2,)]
+    assert rows(spark.table("t")) == [(7,)]  # the session's own view is back
+    for text in ("CREATE TABLE u AS SELECT 1 AS a", "DROP TABLE t", "CREATE TEMP VIEW u AS SELECT 1 AS a", "INSERT INTO t SELECT 3", "SELECT 1) x; DROP TABLE t"):
+        with pytest.raises(Exception):
+            tables.run_query(spark, text, {"t": table})
+    spark.catalog.dropTempView("t")
+
+
+def test_one_mapping_of_a_name_per_batch(make):
+    new = make("name string, mapping string", [("a", '{"date_col": "y"}'), ("a", '{"date_col": "z"}'), ("b", "{}")])
+    assert rows(tables.save_mappings(new.limit(0), new), "name", "mapping") == [("a", '{"date_col": "z"}'), ("b", "{}")]
+
+
+def test_unbooked_and_rejected_sales(make):
+    from tallybook.operators import lot_history, lots
+
+    methods = ["FIFO", "LIFO", "HIFO", None, "Average", "NONE", "AVG", "SPEC", "lifo"]
+    accounts = make("id long, booking_method string, jurisdiction string, asset_class string", [(i, m, None, None) for i, m in enumerate(methods)])
+    lot = "id long, account_id long, commodity string, original_quantity decimal(18,8), quantity decimal(18,8), cost_price decimal(18,8), cost_currency string, acquired_date date, disposed boolean"
+    held = make(lot, [(i, i, "X", 10, 10, 1, "USD", "2024-01-01", False) for i in range(9)]).withColumn("disposed", F.lit(False))
+    sale = "id long, account_id long, commodity string, quantity decimal(18,8), proceeds_per_unit decimal(18,8), proceeds_currency string, sell_date date, sell_transaction_id long"
+    sales = make(sale, [(100 + i, i, "X", 7 if i else 11, 2, "USD", "2024-02-01", i) for i in range(9)])
+    done = rows(lot_history.dispose_history(held, sales, accounts), "sale_id")
+    left = rows(lot_history.unbooked_sales(held, sales, accounts), "sale_id", "rule")
+    assert done == [(101,), (102,)]
+    assert left == [(100, "insufficient_lots"), *[(100 + i, "unknown_method") for i in range(3, 9)]]
+
+    demands = sales.filter("account_id = 1").unionByName(sales.filter("account_id = 1").withColumn("id", F.lit(200).cast("long"))).withColumn("booking_method", F.lit("LIFO"))
+    booked = lots.book_sales(held, demands, accounts)
+    assert rows(booked, "sale_id", "quantity") == [(101, 7)]
+    asked = demands.select(F.col("id").alias("demand_id"), "account_id", "commodity", F.col("quantity").alias("demand"), "booking_method")
+    assert rows(lots.rejected(held, asked), "demand_id", "rule") == [(200, "second_demand")]
