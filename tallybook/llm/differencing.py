@@ -23,25 +23,29 @@ the two named ones play no part.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tallybook.llm.common import bytes_words
+from tallybook.llm.common import slices
 
 CAPACITY = 2048
+#: New words encoded as one text.
+JOINED = 64
 #: Longest part that what is left of a document is cut to.
 PART = 256
 #: Windows of a group.
-GROUP = 512
+GROUP = 256
 #: Words a worker remembers; when they are so many, it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Bits of a sequence number below the partition's.
 PLACE_BITS = 40
 
@@ -50,6 +54,24 @@ PIECES = (
 )
 
 
+#: Marks that end a word, where a letter stands before and white space behind them.
+_WORD_END = re.compile(rb"(?<=[A-Za-z])([.,]+)(?=[ \t-\r]|$)")
+
+
+def _words(text: str | None) -> list[bytes]:
+    """A text's words, in fewer forms than it has them, with the same ids.
+
+    The tokenizer lower-cases and never joins a letter and a mark, so capitals
+    can go and marks at word ends can stand alone. Capitals stay where they may
+    matter: beside combining marks, which compose before lower-casing, and where
+    a special token's brackets occur.
+    """
+    raw = (text or "").encode("utf-8")
+    if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+        raw = raw.lower()
+    return _WORD_END.sub(rb" \1", raw).split()
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space; words are encoded once."""
 
@@ -59,19 +81,38 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.met: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        # A special token is cut out of a text before all else, so it can stand between words.
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.number, self.between = next((i, t.content.encode("utf-8")) for i, t in sorted(special.items()))
+
+    def _meet(self, words: list[bytes]) -> None:
+        """Encode new words, many in one text."""
+        if not words:
+            return
+        lines = [self.between.join(words[i : i + JOINED]).decode("utf-8") for i in range(0, len(words), JOINED)]
+        mark = [self.number]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(chain(e.ids, mark) for e in found), "<u4")
+        ends = np.flatnonzero(ids == self.number)
+        data = ids.tobytes()
+        starts = [0, *(4 * (ends[:-1] + 1)).tolist()]
+        self.met.update((w, data[a:b]) for w, a, b in zip(words, starts, (4 * ends).tolist(), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers. No token
         reaches over ASCII white space, so words can be encoded by themselves."""
-        split = [bytes_words(t or "") for t in texts]
-        if len(self.met) > REMEMBERED:
+        split = [_words(t) for t in texts]
+        fresh = set(chain.from_iterable(split)).difference(self.met)
+        if len(self.met) + len(fresh) > REMEMBERED:
             self.met.clear()
-        fresh = list({w for words in split for w in words if w not in self.met})
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)
-        self.met.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(fresh, found, strict=True))
+            fresh = set(chain.from_iterable(split))
+        self._meet([w for w in fresh if self.between not in w])
+        for word in fresh:
+            if self.between in word:
+                ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
+                self.met[word] = np.asarray(ids, "<u4").tobytes()
         take = self.met.__getitem__
-        for words in split:
-            yield b"".join(map(take, words))
+        return [b"".join(map(take, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -140,8 +181,8 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         own = word_ids(tokenizer)
-        for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
+        for rows, texts in (x for batch in batches for x in slices(batch, batch.schema.names[1])):
+            for key, ids in zip(rows.column(0).to_pylist(), own.encode(texts), strict=True):
                 ids += end
                 total, start = len(ids) // 4, 0
                 while start < total:
