@@ -21,6 +21,8 @@ class Ledger:
     prices: DataFrame
     lots: DataFrame
     lot_dispositions: DataFrame
+    corporate_actions: DataFrame
+    transfers: DataFrame
     source_files: DataFrame
     raw_extractions: DataFrame
     currency_tolerances: DataFrame

@@ -441,8 +441,9 @@ def match_history(lots: DataFrame, sales: DataFrame, accounts: DataFrame, block_
         "LIFO": lambda held, sold: match_lifo(held, sold, block_bits),
         "HIFO": lambda held, sold: match_hifo(held, sold, block_bits),
     }
-    # All three, whether used or not: an empty one costs little.
-    return reduce(DataFrame.unionByName, [match[m](of(lots, m), of(sales, m)) for m in BOOKING_METHODS])
+    known = sales.filter(known_method()).select("booking_method").distinct().collect()  # three at most
+    used = {row[0] for row in known} or {"HIFO"}
+    return reduce(DataFrame.unionByName, [match[m](of(lots, m), of(sales, m)) for m in BOOKING_METHODS if m in used])
 
 
 def unbooked_sales(lots: DataFrame, sales: DataFrame, accounts: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:

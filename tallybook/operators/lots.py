@@ -457,6 +457,30 @@ def apply_corporate_actions(lots: DataFrame, actions: DataFrame) -> DataFrame:
     return scaled.select(*[changed.get(c, F.col(c)) for c in lots.columns])
 
 
+def sales_in_todays_units(sales: DataFrame, actions: DataFrame) -> DataFrame:
+    """Sales with quantities and proceeds per unit scaled by the actions after
+    their day, as the lots are; ``_up`` and ``_down`` lead back."""
+    scaled = sales.join(_actions_by_commodity(actions), "commodity", "left")
+    due = _after(F.col("actions"), F.col("sell_date"))
+    one = F.lit(1).cast(RATIO)
+    scaled = scaled.withColumn("_up", F.coalesce(_product(due, "up"), one)).withColumn("_down", F.coalesce(_product(due, "down"), one))
+    return scaled.withColumn("quantity", _scaled(F.col("quantity"), F.col("_up"), F.col("_down"), QUANTITY)).withColumn(
+        "proceeds_per_unit", _scaled(F.col("proceeds_per_unit"), F.col("_down"), F.col("_up"), RATE)
+    ).select(*sales.columns, "_up", "_down")
+
+
+def in_units_of_the_day(dispositions: DataFrame, sales: DataFrame) -> DataFrame:
+    """Dispositions in today's units, matched from ``sales_in_todays_units``, back in
+    those of their sale's day; gains stay as they are."""
+    factors = sales.select(F.col("id").alias("sale_id"), "_up", "_down")
+    back = dispositions.join(factors, "sale_id")
+    changed = {
+        "quantity": _scaled(F.col("quantity"), F.col("_down"), F.col("_up"), QUANTITY).alias("quantity"),
+        "proceeds_per_unit": _scaled(F.col("proceeds_per_unit"), F.col("_up"), F.col("_down"), RATE).alias("proceeds_per_unit"),
+    }
+    return back.select(*[changed.get(c, F.col(c)) for c in dispositions.columns])
+
+
 def affected_lot_counts(lots: DataFrame, actions: DataFrame) -> DataFrame:
     """``(commodity, affected_lots)``: undisposed lots an action touches."""
     sound = actions.join(action_violations(actions).select("action_id"), "action_id", "left_anti")

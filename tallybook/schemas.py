@@ -54,6 +54,13 @@ TABLES: dict[str, T.StructType] = {
         ("gain_loss_currency", _S), ("term", _S), ("wash_sale", _B),
         ("wash_sale_adjustment", T.DecimalType(37, 16)),
     ),
+    "corporate_actions": _schema(
+        ("action_id", _L), ("commodity", _S), ("action_type", _S), ("ratio", QUANTITY), ("effective_date", _D),
+    ),
+    "transfers": _schema(
+        ("transfer_id", _L), ("from_account_id", _L), ("to_account_id", _L), ("commodity", _S), ("quantity", QUANTITY),
+        ("booking_method", _S), ("date", _D),
+    ),
     "prices": _schema(("commodity", _S), ("currency", _S), ("date", _D), ("price", RATE), ("source", _S)),
     "categorization_rules": _schema(
         ("id", _L), ("pattern", _S), ("pattern_type", _S), ("target_account", _S),

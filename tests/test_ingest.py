@@ -268,3 +268,45 @@ def test_unbooked_and_rejected_sales(make):
     assert rows(booked, "sale_id", "quantity") == [(101, 7)]
     asked = demands.select(F.col("id").alias("demand_id"), "account_id", "commodity", F.col("quantity").alias("demand"), "booking_method")
     assert rows(lots.rejected(held, asked), "demand_id", "rule") == [(200, "second_demand")]
+
+
+def test_splits_and_transfers_survive_later_changes(spark, make):
+    start = Ledger.empty(spark).with_tables(
+        accounts=make("id long, name string, type string, currency string, booking_method string", [
+            (1, "Assets:A", "Assets", "USD", "FIFO"), (2, "Assets:B", "Assets", "USD", "FIFO"), (3, "Assets:Cash", "Assets", "USD", None)]),
+        currency_tolerances=make("currency string, tolerance decimal(18,8)", [("USD", 0.01)]),
+    )
+    start = Ledger(**{n: changes._as(t, start.empty(spark).tables()[n]) for n, t in start.tables().items()})
+    legs = "id long, transaction_id long, account_id long, amount decimal(18,8), currency string, price decimal(18,8), price_currency string"
+
+    def post(ledger, number, day, account, amount, price):
+        headers = make("id long, uuid string, date date, status string", [(number, str(number), day, "cleared")])
+        units = make(legs, [(number * 10, number, account, amount, "X", price, "USD"), (number * 10 + 1, number, 3, -amount * price, "USD", None, None)])
+        done = changes.submit_transactions(ledger, headers, units)
+        return done.ledger.stored(), rows(done.exceptions, "transaction_id", "rule")
+
+    ledger, _ = post(start, 1, "2024-01-10", 1, 10, 100)
+    split = make("action_id long, commodity string, action_type string, ratio decimal(18,8), effective_date date", [(1, "X", "split", 2, "2024-03-01"), (2, "X", "merge", 2, "2024-03-01")])
+    done = changes.record_actions(ledger, split)
+    assert rows(done.exceptions, "rule") == [("unsound_action",)]
+    ledger = done.ledger.stored()
+    assert rows(ledger.lots, "quantity", "cost_price") == [(20, 50)]
+    # a later purchase leaves the split lot as it is; selling all of it gains 20 * (70 - 50)
+    bought, bad = post(ledger, 2, "2024-04-01", 1, 1, 60)
+    assert rows(bought.lots, "quantity", "cost_price") == [(1, 60), (20, 50)] and bad == []
+    sold, bad = post(bought, 3, "2024-05-01", 1, -20, 70)
+    assert bad == [] and rows(sold.lot_dispositions, "quantity", "gain_loss") == [(20, 400)]
+    assert rows(sold.lots.filter("not disposed"), "quantity", "cost_price") == [(1, 60)]
+
+    move = make("transfer_id long, from_account_id long, to_account_id long, commodity string, quantity decimal(18,8), booking_method string, date date", [(5, 1, 2, "X", 8, "FIFO", "2024-06-01")])
+    moved = changes.record_transfers(bought, move).ledger.stored()
+    held = [(1, 1, 60), (1, 12, 50), (2, 8, 50)]
+    assert rows(moved.lots, "account_id", "quantity", "cost_price") == held
+    more, bad = post(moved, 6, "2024-07-01", 2, -3, 80)
+    assert bad == [] and rows(more.lot_dispositions, "quantity", "gain_loss") == [(3, 90)]
+    assert rows(more.lots, "account_id", "quantity", "cost_price") == [*held[:2], (2, 5, 50)]
+    _, bad = post(more, 8, "2024-05-15", 1, -1, 90)
+    assert bad == [(8, "out_of_order")]
+    gone = changes.amend_transactions(more, make("uuid string, delete boolean", [("6", True)]))
+    assert rows(gone.exceptions, "rule", "detail") == [("transferred_holding", "2:X")]
+    assert rows(gone.ledger.lots, "quantity") == rows(more.lots, "quantity")
