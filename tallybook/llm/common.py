@@ -4,29 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.session import stored
 
-__all__ = ["WORDS", "bytes_words", "read", "slices", "stored", "whole_text"]
-
-# Words of the contracts: runs of anything but ASCII white space.
-WORDS = r"[^\x20\x09-\x0D]+"
+__all__ = ["bits", "broadcast_bits", "read", "slices", "stored"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def whole_text(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def broadcast_bits(df: DataFrame, column: str, size: int) -> Broadcast:
+    """A packed array of ``size`` bits to all tasks, set where the column (from 0) has a
+    value; ``bits`` unpacks it. Only the bits reach the driver, by the kilobyte."""
+    place = F.col(column).cast("long") + 1
+    rows = df.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    ).collect()
+    packed = np.zeros(-(-size // 32768) * 4096, np.uint8)
+    for row in rows:
+        packed[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.bits, np.uint8)
+    return df.sparkSession.sparkContext.broadcast(packed)
 
 
-def bytes_words(text: str) -> list[bytes]:
-    """The words of a text as UTF-8; bytes split at exactly the ASCII white space of WORDS."""
-    return text.encode("utf-8").split()
+def bits(known: Broadcast) -> np.ndarray:
+    return np.unpackbits(known.value, bitorder="little").view(bool)
 
 
 #: Bytes of text that a task turns over at a time.

@@ -7,8 +7,10 @@ Light sets, up to a boundary size, are joined by enumerating subsets of fixed
 size: two sets of n and m members link if and only if they share a subset as
 large as the overlap that (n, m) asks for, so equal keys are links already and a
 key's sets hang together by one star. Heavier sets are joined by inverted lists
-of their prefixes in an order that all sets share; frequent shingles come last in
-it, and any two sets that link meet in a list. The boundary is where enumerating
+of their prefixes in an order that all sets share, and any two sets that link meet
+in a list. Shingles that no other set has come first in the order and need no
+list; which ones those are is known for a quarter of all hashes, where every
+shingle is counted. Frequent shingles come last. The boundary is where enumerating
 a set's subsets begins to cost more than scanning its lists, whose mean length is
 measured.
 
@@ -19,8 +21,8 @@ lists whose sets hang together drop out. Only what is left in lists of several
 components is paired, across components alone, so no link is lost. Equal sets are
 one class from the start.
 
-What is broadcast has fixed sizes: ``FREQUENT`` shingles for the order, which
-change the work but never the result, and a filter of ``SLOTS`` bits over sets to
+What is broadcast has fixed sizes: ``FREQUENT`` shingles and ``KNOWN_SLOTS`` bits for
+the order, which change the work but never the result, and ``SLOTS`` bits for sets to
 verify, behind which an exact join stands.
 
 Defined cases: null and wordless texts have empty sets and link with nothing;
@@ -42,12 +44,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import slices, stored
+from tallybook.llm.common import bits, broadcast_bits, slices, stored
 
 #: Words of a shingle, and the least similarity of a link in percent.
 WORDS, PERCENT = 5, 80
 #: Shingles that the shared order puts last, and texts' shingles counted at a time with the count that reports one.
 FREQUENT, COUNTED, REPORTED = 1 << 17, 4_000_000, 4
+#: Shingles of the lowest quarter of hashes, which are counted all, and bits to tell which of them repeat.
+KNOWN, KNOWN_SLOTS = np.uint64(1 << 62), 1 << 26
 #: Greatest size of which subsets may be enumerated.
 LIGHT_MOST = 20
 ROUNDS = 3
@@ -111,43 +115,78 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                     waiting, held = [], 0
         yield settle()
 
-    counts = docs.select("text").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    rows = counts.orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
-    return rows["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    found = docs.select("text").mapInArrow(count, "token long, times long")
+    counts = stored(found.groupBy("token").agg(F.sum("times").alias("times")), "frequent")
+    room, least = FREQUENT, None
+    for row in counts.groupBy("times").count().orderBy(F.desc("times")).toLocalIterator():
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["times"]
+    rows = counts.filter(F.col("times") >= least if least else F.lit(False)).toPandas().sort_values(["times", "token"])
+    return rows["token"].to_numpy(np.int64).view(np.uint64)
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """Slots of the known quarter's shingles that more than one set has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch, "text"):
+                sets = list(shingle_sets(texts))
+                known = [members[: np.searchsorted(members, KNOWN)].view(np.int64) for members in sets]
+                marks = [xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63) for members in sets]
+                owners = np.repeat(np.array(marks, np.int64), [len(x) for x in known])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(known)), pa.array(owners)], ["token", "owner"])
+
+    counts = docs.select("text").mapInArrow(run, "token long, owner long").groupBy("token").agg(
+        F.min("owner").alias("low"), F.max("owner").alias("high")
+    )
+    return counts.filter("low != high").select((F.col("token") % KNOWN_SLOTS).alias("slot"))
 
 
 def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Each document's set size, digest, prefix in the shared order and, if it may be light, members."""
+    """Each document's set size, digest, what of its prefix in the shared order may
+    be in another set (with places), and, if it may be light, its members."""
     order = np.argsort(frequent)
-    known = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+    often_known = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+    repeated_known = broadcast_bits(_repeated(docs), "slot", KNOWN_SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, places = known.value
+        (often, places), repeated = often_known.value, bits(repeated_known)
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                sizes, digests, prefixes, light = [], [], [], []
+                sizes, digests, tokens, at, light = [], [], [], [], []
                 for members in shingle_sets(texts):
-                    sizes.append(len(members))
+                    n = len(members)
+                    sizes.append(n)
                     digests.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
-                    late = np.zeros(len(members), np.int64)
-                    if len(often) and len(members):
-                        at = np.minimum(np.searchsorted(often, members), len(often) - 1)
-                        hit = often[at] == members
-                        late[hit] = 1 + places[at[hit]]
-                    first = members[np.argsort(late, kind="stable")[: prefix_length(len(members))]] if len(members) else members
-                    prefixes.append(first.view(np.int64))
-                    light.append(members.tobytes() if len(members) <= LIGHT_MOST else None)
-                ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
-                flat = np.concatenate(prefixes)
+                    # Known to be in no other set; not known; known to be in others; frequent, by frequency.
+                    late = np.ones(n, np.int64)
+                    known = np.searchsorted(members, KNOWN)
+                    late[:known] = 2 * repeated[(members[:known] % np.uint64(KNOWN_SLOTS)).astype(np.int64)]
+                    if len(often) and n:
+                        i = np.minimum(np.searchsorted(often, members), len(often) - 1)
+                        hit = often[i] == members
+                        late[hit] = 3 + places[i[hit]]
+                    first = np.argsort(late, kind="stable")[: prefix_length(n) if n else 0]
+                    place = np.flatnonzero(late[first])
+                    tokens.append(members[first[place]].view(np.int64))
+                    at.append(place.astype(np.int32))
+                    light.append(members.tobytes() if n <= LIGHT_MOST else None)
+                ends = pa.array(np.cumsum([0, *map(len, tokens)], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())), pa.array(light, pa.binary()),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens), pa.int64())),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(at), pa.int32())), pa.array(light, pa.binary()),
                     ],
-                    ["doc_id", "text_key", "n", "digest", "prefix", "light"],
+                    ["doc_id", "text_key", "n", "digest", "tokens", "places", "light"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n int, digest binary, prefix array<long>, light binary")
+    return docs.mapInArrow(
+        run, "doc_id long, text_key long, n int, digest binary, tokens array<long>, places array<int>, light binary"
+    )
 
 
 def _subset_links(classes: DataFrame, most: int) -> DataFrame:
@@ -209,18 +248,23 @@ def merged(components: DataFrame, links: DataFrame) -> DataFrame:
     """
     a, b = components.toDF("a", "x"), components.toDF("b", "y")
     edges = links.join(a, "a").join(b, "b").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u != v").distinct()
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
     edges = stored(edges, "edges")
-    while edges.count():
+    before = state(edges)
+    while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).withColumn("w", F.least("u", "w"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("w"))
         turned = large.join(small, "u").select(F.when(F.col("v") == F.col("w"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("w").alias("v"))
-        turned = stored(turned.filter("u != v").distinct(), "edges")
-        done = not turned.exceptAll(edges).limit(1).count() and not edges.exceptAll(turned).limit(1).count()
-        edges = turned
-        if done:
+        edges = stored(turned.filter("u != v").distinct(), "edges")
+        after = state(edges)
+        if after == before:
             break
+        before = after
     names = edges.toDF("comp", "name")
     return stored(
         components.join(names, "comp", "left").select("set_id", F.coalesce("name", "comp").alias("comp")), "components"
@@ -255,12 +299,10 @@ def _may_link(most: int) -> Column:
 def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The whole sets of some classes (set_id, digest): (set_id, members)."""
     slot = F.conv(F.substring(F.hex("digest"), 1, 6), 16, 10).cast("int") % SLOTS
-    filled = np.zeros(SLOTS, bool)
-    filled[wanted.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
-    known = docs.sparkSession.sparkContext.broadcast(np.packbits(filled))
+    known = broadcast_bits(wanted.select(slot.alias("slot")), "slot", SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there, sent = np.unpackbits(known.value).view(bool), set()
+        there, sent = bits(known), set()
         for batch in batches:
             for _, texts in slices(batch, "text"):
                 digests, sets = [], []
@@ -278,16 +320,19 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per document: ``doc_id``, ``text_key``, set size ``n``, and the ``component_id`` of sets that are not empty."""
+    """One row per document: ``doc_id``, ``text_key``, set size ``n``, and for sets that
+    are not empty ``comp``, the component, and ``component_id``, its smallest id."""
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     signatures = stored(_signatures(named, _frequent(named)), "signatures")
     there = signatures.filter("n > 0 and doc_id is not null")
     classes = stored(
-        there.groupBy("digest").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", "prefix", "light")])
+        there.groupBy("digest").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", "tokens", "places", "light")])
         .withColumn("set_id", F.monotonically_increasing_id()),
         "classes",
     )
-    entries = classes.select("set_id", "n", F.posexplode("prefix").alias("place", "token"))
+    entries = classes.select("set_id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(
+        "set_id", "n", F.col("x.tokens").alias("token"), F.col("x.places").alias("place")
+    )
     lists = stored(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "lists")
     most = _boundary(lists)
     # Sets below this size link with light ones only.
@@ -322,9 +367,9 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     labels = classes.join(found, "set_id")
     names = labels.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    by_digest = labels.join(names, "comp").select("digest", "component_id")
+    by_digest = labels.join(names, "comp").select("digest", "comp", "component_id")
     there = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    return signatures.select("doc_id", "text_key", "n", "digest").join(by_digest, "digest", "left").select("doc_id", "text_key", "n", there)
+    return signatures.select("doc_id", "text_key", "n", "digest").join(by_digest, "digest", "left").select("doc_id", "text_key", "n", "comp", there)
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,8 +385,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     so do texts without words."""
     own = "_" * (1 + max(map(len, docs.columns)))  # in front of a name, it makes one that docs can't have
     linked = stored(_labelled(docs, doc_id, text).filter("component_id is not null"), "labels")
-    first = linked.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("first_key"))
-    later = linked.join(first, "component_id").filter("doc_id != component_id or text_key != first_key")
+    first = linked.filter("doc_id = component_id").groupBy("comp").agg(F.min("text_key").alias("first_key"))
+    later = linked.join(first, "comp").filter("doc_id != component_id or text_key != first_key")
     later = later.select(F.col("doc_id").alias(f"{own}id"), F.col("text_key").alias(f"{own}key")).distinct()
     rows = docs.withColumn(f"{own}long", F.col(doc_id).cast("long")).withColumn(f"{own}text", F.xxhash64(text))
     kept = rows.join(later, (F.col(f"{own}long") == F.col(f"{own}id")) & (F.col(f"{own}text") == F.col(f"{own}key")), "left_anti")
