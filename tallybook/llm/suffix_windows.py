@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.llm.common import stored
+from tallybook.llm.common import bits, broadcast_bits, stored
 
 #: Bytes of a string that must not repeat, and of the first digit.
 THRESHOLD, GRAM = 200, 48
@@ -141,13 +141,6 @@ def _slot(ids: np.ndarray, digests: np.ndarray, low: np.ndarray) -> np.ndarray:
     return (mixed % np.uint64(SLOTS)).astype(np.int32)
 
 
-def _filter(df: DataFrame, column: str):
-    """A broadcast bit for each slot that the column has."""
-    there = np.zeros(SLOTS, bool)
-    there[df.select(column).distinct().toPandas()[column].to_numpy(np.int64)] = True
-    return df.sparkSession.sparkContext.broadcast(np.packbits(there))
-
-
 def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     array = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
     return [b or b"" for b in array.to_pylist()]
@@ -167,15 +160,15 @@ def _first_digits(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_signed(h), pa.array(times.astype(np.int32))], ["h", "times"])
 
     counts = rows.select("text").mapInArrow(run, "h long, times int").groupBy("h").agg(F.sum("times").alias("times"))
-    return stored(counts.filter("times > 1").select(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).distinct(), "digits")
+    return counts.filter("times > 1").select(F.pmod("h", F.lit(SLOTS)).alias("slot"))
 
 
 def _extents(rows: DataFrame, digits: DataFrame) -> DataFrame:
     """Runs whose first digit repeats, as far as the filter can tell."""
-    known = _filter(digits, "slot")
+    known = broadcast_bits(digits, "slot", SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(known.value).view(bool)
+        there = bits(known)
         for batch in batches:
             ids, digests = batch.column(0), batch.column(1).to_numpy()
             numbers = ids.fill_null(0).to_numpy()
@@ -196,11 +189,11 @@ def _extents(rows: DataFrame, digits: DataFrame) -> DataFrame:
 
 def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of some runs, numbered."""
-    known = _filter(wanted, "slot")
+    known = broadcast_bits(wanted, "slot", SLOTS)
     schema = "doc_id long, digest long, low int, h long, high int, at int, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(known.value).view(bool)
+        there = bits(known)
         for batch in batches:
             ids, digests = batch.column(0), batch.column(1).to_numpy()
             numbers = ids.fill_null(0).to_numpy()
