@@ -6,9 +6,12 @@ miss what greedy patterns run together, such as a phone number followed by a car
 number. So high-recall generators propose further spans, which may overlap each
 other and the base ones. Boosted trees score a proposal by its format and by what
 stands around it; they learn, over all proposals of the corpus, which ones are
-base spans. A kind's threshold is the lowest one above which the proposals of held
-out documents reach a given precision; proposals above it are added, unless a base
-span of their kind holds them already.
+true. Those that are a whole base match are labelled by its check. Those that are a
+part of one (loose) can't be base spans, true or not, so the check of their own
+digits counts: of wrong digits a known share passes by chance, so those that fail
+tell how many of those that pass are false. A kind's threshold is the lowest one
+above which the proposals of held out documents reach a given precision; proposals
+above it are added, unless a base span of their kind holds them already.
 
 Proposals fall into cells of equal features, of which there are at most
 ``CELLS``. Only these cells' counts reach the driver, where the trees are grown;
@@ -56,7 +59,10 @@ GENERATORS = [
 OCTET = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)|0++)"
 #: Upper ends of the classes of digit counts.
 DIGITS = [8, 9, 10, 12, 15]
-#: Classes of each feature: generator, Luhn, digits, left, right, form.
+#: Of each generator with loose proposals, how many wrong ones pass the check for each that fails:
+#: one of ten last digits passes Luhn, nine of ten first digits can begin a country code.
+CHANCE = {3: 1 / 9, 4: 1 / 9, 5: 9.0}
+#: Classes of each feature: generator, check (Luhn, no 0 behind a plus), digits, left, right, form.
 CLASSES = [len(GENERATORS), 2, len(DIGITS) + 1, 3, 3, 2]
 CELLS = math.prod(CLASSES)
 #: Trees, their depth, how far each goes, and the weight that holds small leaves back.
@@ -68,13 +74,14 @@ PRECISION = 0.95
 
 
 def _matches(text: Column, pattern: str, kind: int) -> Column:
-    """All matches: (start, end, m, left, right), left and right being the text up
-    to the matches before and behind. A cheap guard spares texts without any."""
+    """All matches: (start, end, m, left, right, part), left and right being the
+    characters beside, part whether digits go on behind one space or dash on either
+    side. A cheap guard spares texts without any."""
     if kind != EMAIL:
         guard = text.rlike("[0-9][0-9. ()-]+[0-9]")
     else:
         guard = text.contains("@") if "@" in pattern else text.rlike(r"(?i)[(\[] ?at ?[)\]]")
-    none = F.array().cast("array<struct<start:int,end:int,m:string,left:string,right:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,m:string,left:string,right:string,part:boolean>>")
 
     def walked(x: Column) -> Column:
         found, gaps = x["found"], x["gaps"]
@@ -82,9 +89,12 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(gaps[i])
             end = start + F.length(found[i])
+            # A lone mark between two matches joins them.
+            before = F.right(gaps[i], F.lit(2)).rlike("^[0-9][ -]") | ((i > 0) & gaps[i].isin(" ", "-"))
+            behind = F.left(gaps[i + 1], F.lit(2)).rlike("^[ -][0-9]") | ((i + 1 < F.size(found)) & gaps[i + 1].isin(" ", "-"))
             one = F.struct(
                 start.alias("start"), end.alias("end"), found[i].alias("m"), F.right(gaps[i], F.lit(1)).alias("left"),
-                F.left(gaps[i + 1], F.lit(1)).alias("right"),
+                F.left(gaps[i + 1], F.lit(1)).alias("right"), (before | behind).alias("part"),
             )
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
@@ -150,7 +160,9 @@ def _beside(c: Column) -> Column:
 
 
 def proposals(text: Column) -> Column:
-    """(kind, start, end, features) of all generators' matches."""
+    """(kind, start, end, features, loose) of all generators' matches; what is loose
+    is not a whole base match. Plain base matches of phones begin at the same plus, so
+    proposals that are no base spans are all loose."""
 
     def one(g: int, kind: int, m: Column) -> Column:
         digits = _digits(m["m"])
@@ -159,10 +171,12 @@ def proposals(text: Column) -> Column:
         for k, most in reversed(list(enumerate(DIGITS))):
             size = F.when(number <= most, k).otherwise(size)
         form = _passes(IP, m["m"]) if kind == IP else m["m"].rlike(r"\.[A-Za-z]{2,}$") if kind == EMAIL else m["m"].contains("(")
-        features = F.array(
-            F.lit(g), _luhn(digits).cast("int") if kind == CARD else F.lit(0), size, _beside(m["left"]), _beside(m["right"]), form.cast("int")
+        check = _luhn(digits) if kind == CARD else ~digits.startswith("0") if g == 5 else F.lit(False)
+        features = F.array(F.lit(g), check.cast("int"), size, _beside(m["left"]), _beside(m["right"]), form.cast("int"))
+        loose = m["part"] if kind == CARD else F.lit(g in CHANCE)
+        return F.struct(
+            F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), features.alias("features"), loose.alias("loose")
         )
-        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), features.alias("features"))
 
     def of(g: int, kind: int, pattern: str) -> Column:
         return F.transform(_matches(text, pattern, kind), lambda m: one(g, kind, m))
@@ -231,8 +245,20 @@ def _grown(cells: list[tuple[list[int], float, float]], depth: int) -> Node:
     )
 
 
-def boosted(cells: list[tuple[list[int], bool, int, int]]) -> Boosted:
-    """Trees and thresholds from (features, held out, base proposals, other proposals)."""
+def weighed(cells: list[tuple[list[int], bool, int, int, int]]) -> list[tuple[list[int], bool, float, float]]:
+    """(features, held out, true, false) from (features, held out, base, loose and other
+    proposals). Loose ones that fail their check are false, and so are as many of those
+    that pass it in the same surroundings as chance lets pass."""
+    failed = {(tuple(x), held): loose for x, held, _, loose, _ in cells if not x[1]}
+    out = []
+    for x, held, yes, loose, no in cells:
+        wrong = min(loose, CHANCE.get(x[0], 0) * failed.get(((x[0], 0, *x[2:]), held), 0)) if x[1] else loose
+        out.append((x, held, yes + loose - wrong, no + wrong))
+    return out
+
+
+def boosted(cells: list[tuple[list[int], bool, float, float]]) -> Boosted:
+    """Trees and thresholds from (features, held out, true proposals, false proposals)."""
     train = [(x, yes, no) for x, held, yes, no in cells if not held]
     yes, no = sum(c[1] for c in train), sum(c[2] for c in train)
     model = Boosted(math.log((yes + 1) / (no + 1)))
@@ -264,14 +290,15 @@ def learned(found: DataFrame) -> Boosted:
     labelled = found.select(
         "held_out", "base", F.explode("proposed").alias("p")
     ).select(
-        "held_out", F.col("p.features").alias("features"),
+        "held_out", F.col("p.features").alias("features"), F.col("p.loose").alias("loose"),
         F.exists("base", lambda b: (b["kind"] == F.col("p.kind")) & (b["start"] == F.col("p.start")) & (b["end"] == F.col("p.end"))).alias("yes"),
     )
     counts = labelled.groupBy("features", "held_out").agg(
-        F.sum(F.col("yes").cast("long")).alias("yes"), F.count(F.lit(1)).alias("all")
+        F.sum(F.col("yes").cast("long")).alias("yes"), F.sum((~F.col("yes") & F.col("loose")).cast("long")).alias("loose"),
+        F.count(F.lit(1)).alias("all"),
     )
     rows = counts.collect()  # at most 2 * CELLS
-    return boosted(sorted((list(r.features), r.held_out, r.yes, r.all - r.yes) for r in rows))
+    return boosted(weighed(sorted((list(r.features), r.held_out, r.yes, r.loose, r.all - r.yes - r.loose) for r in rows)))
 
 
 def _found(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:

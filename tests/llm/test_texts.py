@@ -266,6 +266,40 @@ def test_run_together_numbers_are_added_and_redacted(spark):
     assert private_spans.redact(docs.limit(0)).count() == 0
 
 
+def numbers(rng):
+    """A phone number, and one that a card could have (or not)."""
+
+    def card(valid=True):
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return body + next(d for d in "0123456789" if luhn(body + d) == valid)
+
+    return lambda: f"+1 ({rng.randint(0, 999):03}) 555-{rng.randint(1000, 9999)}", card
+
+
+def spans_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = private_spans.spans(docs).select("doc_id", private_spans.rendered(F.col("spans")).alias("s"))
+    return {r.doc_id: r.s for r in found.collect()}
+
+
+def test_numbers_that_half_of_the_rows_run_together_are_added(spark):
+    phone, card = numbers(random.Random(8))
+    texts = [f"pay {card()} or call {phone()}, on line {i}" if i % 2 else f"then {phone()} {card()} came on line {i}" for i in range(400)]
+    texts += [f"both {card()} {card()} came", f"then {phone()} {card(False)} came"]
+    spans = spans_of(spark, texts)
+    assert all(spans[i] == "card:23:39,phone:5:22" for i in range(0, 400, 2))
+    assert spans[400] == "card:5:21,card:22:38" and spans[401] == "phone:5:22"
+
+
+def test_slices_of_long_numbers_are_not_added(spark):
+    rng = random.Random(9)
+    _, card = numbers(rng)
+    texts = [f"pay {card()} on line {i}" for i in range(100)]
+    texts += [f"from {' '.join(str(rng.randint(1000, 9999)) for _ in range(7))} of {i}" for i in range(1000)]
+    spans = spans_of(spark, texts)
+    assert all(spans[i] == "card:4:20" for i in range(100)) and not any(spans[i] for i in range(100, 1100))
+
+
 def test_digests_of_the_query(spark, tmp_path):
     from tallybook.llm.queries import QUERIES
 
