@@ -9,9 +9,12 @@ stands around it; they learn, over all proposals of the corpus, which ones are
 true. Those that are a whole base match are labelled by its check. Those that are a
 part of one (loose) can't be base spans, true or not, so the check of their own
 digits counts: of wrong digits a known share passes by chance, so those that fail
-tell how many of those that pass are false. A kind's threshold is the lowest one
-above which the proposals of held out documents reach a given precision; proposals
-above it are added, unless a base span of their kind holds them already.
+tell how many of those that pass are false. Mail addresses with a bracketed "at"
+and phone numbers without a plus can't be base spans at all: they are loose, with
+checks of their format, and base spans written that way are further true rows.
+The threshold of a group of generators is the lowest one above which their proposals
+of held out documents reach a given precision; proposals above it are added, unless
+a base span or a longer added one of their kind holds them already.
 
 Proposals fall into cells of equal features, of which there are at most
 ``CELLS``. Only these cells' counts reach the driver, where the trees are grown;
@@ -49,20 +52,26 @@ BASE = {
 #: Generators of proposals: kind and pattern.
 GENERATORS = [
     (EMAIL, _LOCAL + r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"),
-    (EMAIL, _LOCAL + r" ?[(\[] ?(?i:at) ?[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[] ?(?i:dot) ?[)\]]) ?[A-Za-z0-9-]++)++"),
+    (EMAIL, _LOCAL + r" ?[(\[] ?(?i:at) ?[)\]] ?[A-Za-z0-9-]++(?:(?:\.| \. | ?[(\[] ?(?i:dot) ?[)\]] ?)[A-Za-z0-9-]++)++"),
     (IP, r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
     (CARD, r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
     (CARD, r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])"),
     (PHONE, r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{3,4}){2}(?![0-9])"),
     (PHONE, r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 ]
+#: Generators that share a threshold.
+GROUPS = [[0], [1], [2], [3, 4], [5], [6]]
+#: Generators whose true rows are base spans of another generator, written their way: that one,
+#: and their check, digits class (none: the same) and form classes.
+REWRITTEN = {1: (0, 1, None, (0, 1)), 6: (5, 1, 2, (0, 1))}
 OCTET = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)|0++)"
 #: Upper ends of the classes of digit counts.
 DIGITS = [8, 9, 10, 12, 15]
 #: Of each generator with loose proposals, how many wrong ones pass the check for each that fails:
-#: one of ten last digits passes Luhn, nine of ten first digits can begin a country code.
-CHANCE = {3: 1 / 9, 4: 1 / 9, 5: 9.0}
-#: Classes of each feature: generator, check (Luhn, no 0 behind a plus), digits, left, right, form.
+#: one of ten last digits passes Luhn, nine of ten first digits can begin a country code, and of wrong
+#: ones without "@" or a plus as many are taken to pass as fail.
+CHANCE = {1: 1.0, 3: 1 / 9, 4: 1 / 9, 5: 9.0, 6: 1.0}
+#: Classes of each feature: generator, check (of loose proposals, by ``_checked``), digits, left, right, form.
 CLASSES = [len(GENERATORS), 2, len(DIGITS) + 1, 3, 3, 2]
 CELLS = math.prod(CLASSES)
 #: Trees, their depth, how far each goes, and the weight that holds small leaves back.
@@ -75,12 +84,14 @@ PRECISION = 0.95
 
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """All matches: (start, end, m, left, right, part), left and right being the
-    characters beside, part whether digits go on behind one space or dash on either
-    side. A cheap guard spares texts without any."""
+    characters beside, part whether digits go on behind one space or dash (or dot,
+    but no country code, for phones) on either side. A cheap guard spares texts
+    without any."""
     if kind != EMAIL:
         guard = text.rlike("[0-9][0-9. ()-]+[0-9]")
     else:
         guard = text.contains("@") if "@" in pattern else text.rlike(r"(?i)[(\[] ?at ?[)\]]")
+    marks = " .-" if kind == PHONE else " -"
     none = F.array().cast("array<struct<start:int,end:int,m:string,left:string,right:string,part:boolean>>")
 
     def walked(x: Column) -> Column:
@@ -90,8 +101,10 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
             start = acc["at"] + F.length(gaps[i])
             end = start + F.length(found[i])
             # A lone mark between two matches joins them.
-            before = F.right(gaps[i], F.lit(2)).rlike("^[0-9][ -]") | ((i > 0) & gaps[i].isin(" ", "-"))
-            behind = F.left(gaps[i + 1], F.lit(2)).rlike("^[ -][0-9]") | ((i + 1 < F.size(found)) & gaps[i + 1].isin(" ", "-"))
+            before = F.right(gaps[i], F.lit(2)).rlike(f"^[0-9][{marks}]") | ((i > 0) & gaps[i].isin(*marks))
+            behind = F.left(gaps[i + 1], F.lit(2)).rlike(f"^[{marks}][0-9]") | ((i + 1 < F.size(found)) & gaps[i + 1].isin(*marks))
+            if kind == PHONE:
+                before = before & ~F.right(gaps[i], F.lit(5)).rlike(rf"\+[0-9]{{1,3}}[{marks}]$")
             one = F.struct(
                 start.alias("start"), end.alias("end"), found[i].alias("m"), F.right(gaps[i], F.lit(1)).alias("left"),
                 F.left(gaps[i + 1], F.lit(1)).alias("right"), (before | behind).alias("part"),
@@ -129,6 +142,19 @@ def _luhn(digits: Column) -> Column:
     return F.when(F.length(digits).between(13, 19), total % 10 == 0).otherwise(F.lit(False))
 
 
+def _checked(g: int, m: Column, digits: Column) -> Column:
+    """The check of a generator's loose proposals."""
+    if g == 1:
+        return m["m"].rlike(r"[^A-Za-z0-9-][A-Za-z]{2,}$")  # ends in a label of letters
+    if g in (3, 4):
+        return _luhn(digits)
+    if g == 5:
+        return ~digits.startswith("0")
+    if g == 6:  # brackets, or the same mark twice and no more digits around
+        return m["m"].contains("(") | (~m["part"] & m["m"].rlike(r"^[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}$"))
+    return F.lit(False)
+
+
 def _passes(kind: int, m: Column) -> Column:
     """The check of a kind's base matches."""
     if kind == IP:
@@ -171,8 +197,9 @@ def proposals(text: Column) -> Column:
         for k, most in reversed(list(enumerate(DIGITS))):
             size = F.when(number <= most, k).otherwise(size)
         form = _passes(IP, m["m"]) if kind == IP else m["m"].rlike(r"\.[A-Za-z]{2,}$") if kind == EMAIL else m["m"].contains("(")
-        check = _luhn(digits) if kind == CARD else ~digits.startswith("0") if g == 5 else F.lit(False)
-        features = F.array(F.lit(g), check.cast("int"), size, _beside(m["left"]), _beside(m["right"]), form.cast("int"))
+        features = F.array(
+            F.lit(g), _checked(g, m, digits).cast("int"), size, _beside(m["left"]), _beside(m["right"]), form.cast("int")
+        )
         loose = m["part"] if kind == CARD else F.lit(g in CHANCE)
         return F.struct(
             F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), features.alias("features"), loose.alias("loose")
@@ -207,7 +234,7 @@ class Node:
 
 @dataclass
 class Boosted:
-    """Boosted trees, and for each kind the least score that adds a proposal (none if missing)."""
+    """Boosted trees, and for each generator the least score that adds a proposal (none if missing)."""
 
     prior: float = 0.0
     trees: list[Node] = field(default_factory=list)
@@ -216,11 +243,11 @@ class Boosted:
     def score(self, x: list[int]) -> float:
         return self.prior + sum(t.score(x) for t in self.trees)
 
-    def accepts(self, kind: Column, x: Column) -> Column:
+    def accepts(self, x: Column) -> Column:
         score = sum((t.column(x) for t in self.trees), F.lit(self.prior))
         least = F.lit(None).cast("double")
-        for k, value in self.least.items():
-            least = F.when(kind == k, F.lit(value)).otherwise(least)
+        for g, value in self.least.items():
+            least = F.when(x[0] == g, F.lit(value)).otherwise(least)
         return F.coalesce(score >= least, F.lit(False))
 
 
@@ -248,13 +275,22 @@ def _grown(cells: list[tuple[list[int], float, float]], depth: int) -> Node:
 def weighed(cells: list[tuple[list[int], bool, int, int, int]]) -> list[tuple[list[int], bool, float, float]]:
     """(features, held out, true, false) from (features, held out, base, loose and other
     proposals). Loose ones that fail their check are false, and so are as many of those
-    that pass it in the same surroundings as chance lets pass."""
+    that pass it in the same surroundings as chance lets pass. Of rows written in another
+    way any number counts in training; held out, where they would hide what the
+    proposals themselves show, a cell has at most one."""
     failed = {(tuple(x), held): loose for x, held, _, loose, _ in cells if not x[1]}
     out = []
     for x, held, yes, loose, no in cells:
         wrong = min(loose, CHANCE.get(x[0], 0) * failed.get(((x[0], 0, *x[2:]), held), 0)) if x[1] else loose
         out.append((x, held, yes + loose - wrong, no + wrong))
-    return out
+    again: dict[tuple, int] = {}
+    for x, held, yes, _, _ in cells:
+        for g, (of, check, digits, forms) in REWRITTEN.items():
+            if x[0] == of and yes:
+                for form in forms:
+                    key = (g, check, x[2] if digits is None else digits, *x[3:5], form), held
+                    again[key] = again.get(key, 0) + yes
+    return out + [(list(x), held, float(min(n, 1) if held else n), 0.0) for (x, held), n in sorted(again.items())]
 
 
 def boosted(cells: list[tuple[list[int], bool, float, float]]) -> Boosted:
@@ -270,10 +306,10 @@ def boosted(cells: list[tuple[list[int], bool, float, float]]) -> Boosted:
         )
         model.trees.append(tree)
         scores = [s + tree.score(x) for s, (x, _, _) in zip(scores, train, strict=True)]
-    for kind in range(len(KINDS)):
-        by_score: dict[float, list[int]] = {}
+    for group in GROUPS:
+        by_score: dict[float, list[float]] = {}
         for x, held, y, n in cells:
-            if held and GENERATORS[x[0]][0] == kind:
+            if held and x[0] in group:
                 both = by_score.setdefault(round(model.score(x), 9), [0, 0])
                 both[0] += y
                 both[1] += n
@@ -281,7 +317,7 @@ def boosted(cells: list[tuple[list[int], bool, float, float]]) -> Boosted:
         for score in sorted(by_score, reverse=True):
             y, n = y + by_score[score][0], n + by_score[score][1]
             if y >= PRECISION * (y + n) and by_score[score][0] > by_score[score][1]:
-                model.least[kind] = score - 1e-9
+                model.least.update((g, score - 1e-9) for g in group)
     return model
 
 
@@ -311,9 +347,19 @@ def _all_spans(base: Column, proposed: Column, model: Boosted) -> Column:
 
     def news(p: Column) -> Column:
         held = F.exists(base, lambda b: (b["kind"] == p["kind"]) & (b["start"] <= p["start"]) & (b["end"] >= p["end"]))
-        return model.accepts(p["kind"], p["features"]) & ~held
+        return model.accepts(p["features"]) & ~held
+
+    def longest(some: Column) -> Column:
+        # A number without its country code ends where the one with it does, which comes first.
+        def inner(p: Column, i: Column) -> Column:
+            ahead = F.get(some, i - 1)
+            return F.coalesce((ahead["kind"] == p["kind"]) & (ahead["end"] == p["end"]) & (ahead["start"] < p["start"]), F.lit(False))
+
+        return F.filter(some, lambda p, i: ~inner(p, i))
 
-    added = F.transform(F.filter(proposed, news), lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
+    by_end = F.array_sort(F.transform(F.filter(proposed, news), lambda p: F.struct(p["kind"].alias("kind"), p["end"].alias("end"), p["start"].alias("start"))))
+    # An array of one binds the proposals, which else would be judged again for each.
+    added = F.transform(F.transform(F.array(by_end), longest)[0], lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
     return F.array_sort(F.array_distinct(F.concat(base, added)))
 
 

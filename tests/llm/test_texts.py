@@ -300,6 +300,19 @@ def test_slices_of_long_numbers_are_not_added(spark):
     assert all(spans[i] == "card:4:20" for i in range(100)) and not any(spans[i] for i in range(100, 1100))
 
 
+def test_written_out_mails_and_phones_without_a_plus_are_added(spark):
+    phone, _ = numbers(random.Random(10))
+    texts = [f"call me at {phone()} or at jane{i}@example.com, on line {i}" for i in range(300)]
+    planted = ["write to jane (at) example (dot) com. We reply", "or jane [at] mail.example.org now", "call (743) 555-3824 now", "or 743-555-3824 now"]
+    other = ["see fig (at) 3.1 there", "parts 100 200 3000 400 500 6000 left", "code 100-200.3000 of it"]
+    spans = spans_of(spark, [*texts, *planted, *other])
+    assert [spans[i] for i in range(300, 307)] == ["email:9:36", "email:3:29", "phone:5:19", "phone:3:15", "", "", ""]
+    assert all(len(spans[i].split(",")) == 2 for i in range(300))
+    # Where most of their format are wrong, none are added.
+    tables = [f"row {rng} 100 200 3000 400 500 6000 sum 100 200 3000 of it" for rng in range(300)]
+    assert not any("phone" in s for i, s in spans_of(spark, [*texts, *tables]).items() if i >= 300)
+
+
 def test_digests_of_the_query(spark, tmp_path):
     from tallybook.llm.queries import QUERIES
 
