@@ -3,7 +3,8 @@
 Every three consecutive lines of a text are one window, known by 96 bits of hash.
 Of windows that come up more than once in the corpus, the first occurrence stays
 and all lines that a later one covers are removed; the first is the one in the
-smallest document number, and in that document the earliest.
+smallest document number (null behind all others; of texts that share a number the
+one with the smallest hash), and in that document the earliest.
 
 A window's later occurrences within its own document are found there, in the
 sorted array of its windows. Across documents only each document's first
@@ -15,8 +16,8 @@ Positions come together per document, texts move once.
 Defined cases: a null text stays null and has no lines; texts of fewer than three
 lines have no window and stay; empty lines count like others; a text of which
 every line is covered becomes empty. Rows of the same number and text share
-their fate; rows of one number, null included, are never later occurrences of
-each other. Other columns are kept as they are.
+their fate and are never later occurrences of each other; different texts of one
+number, null included, are. Other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -60,8 +61,13 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(key.alias("doc_id"), digest.alias("digest"), split.alias(f"{own}lines")).withColumn(
         f"{own}windows", _windows(lines)
     ).select("doc_id", "digest", F.explode(_with_first(windows)).alias("w")).filter("w.first").select("doc_id", "digest", "w.h", "w.g", "w.pos")
-    repeated = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
-    later = rows.join(repeated, ["h", "g"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    repeated = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select(
+        "h", "g", F.col("first.doc_id").alias("first_doc"), F.col("first.digest").alias("first_digest")
+    )
+    later = rows.join(repeated, ["h", "g"]).filter(
+        ~F.col("doc_id").eqNullSafe(F.col("first_doc")) | (F.col("digest") != F.col("first_digest"))
+    )
     hits = later.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias(f"{own}hits")).select(
         F.col("doc_id").alias(f"{own}id"), F.col("digest").alias(f"{own}digest"), f"{own}hits"
     )

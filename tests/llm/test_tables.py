@@ -98,6 +98,17 @@ def test_repeated_rows_share_their_fate(spark):
     )
 
 
+def test_texts_of_one_number_or_none_lose_what_they_share(spark):
+    rows = [(i, f"{k}\n{line}\nb\nc") for i, line in ((None, "a"), (7, "z")) for k in range(5)]
+    rows += [(8, "a\nq\nr\ns"), (None, "a\nq\nr\ns")]
+    found = line_windows.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, line in ((None, "a"), (7, "z")):
+        own = sorted(r.text for r in found if r.doc_id == i and r.text)
+        whole = [t for t in own if t.endswith(f"{line}\nb\nc")]
+        assert len(whole) == 1 and sorted([*own, whole[0][0]]) == sorted([*whole, *"01234"])
+    assert [r.text for r in found if r.doc_id == 8] == ["a\nq\nr\ns"]
+
+
 # Near copies
 
 def words_of(text):
