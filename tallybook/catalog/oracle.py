@@ -122,16 +122,16 @@ CTES: dict[str, str] = {
                sum(CASE WHEN type = 'Assets' AND asset_class NOT IN ('cash', 'equity', 'debt', 'crypto') THEN closing_balance ELSE 0 END)::DECIMAL(28,2) AS assets_other
         FROM monthly m JOIN accounts a ON a.id = m.account_id WHERE type IN ('Assets', 'Liabilities') GROUP BY 1, 2""",
     # A sale beyond what is held at its time is refused whole.
-    "events": """
+    "holding_events": """
         SELECT account_id, commodity, row_number() OVER (PARTITION BY account_id, commodity ORDER BY date, sale, id) AS n,
                id, sale, quantity FROM trades""",
     "walk": """
         SELECT account_id, commodity, n, id, sale AS refused, CASE WHEN sale THEN 0 ELSE quantity END::DECIMAL(18,2) AS held
-        FROM events WHERE n = 1
+        FROM holding_events WHERE n = 1
         UNION ALL
         SELECT e.account_id, e.commodity, e.n, e.id, e.sale AND e.quantity > w.held,
                CASE WHEN NOT e.sale THEN w.held + e.quantity WHEN e.quantity > w.held THEN w.held ELSE w.held - e.quantity END::DECIMAL(18,2)
-        FROM walk w JOIN events e ON e.account_id = w.account_id AND e.commodity = w.commodity AND e.n = w.n + 1""",
+        FROM walk w JOIN holding_events e ON e.account_id = w.account_id AND e.commodity = w.commodity AND e.n = w.n + 1""",
     "accepted": "SELECT * FROM sales WHERE id NOT IN (SELECT id FROM walk WHERE refused)",
     # First-in-first-out matches of accepted sales, by overlap of cumulative quantities.
     "lot_axis": """

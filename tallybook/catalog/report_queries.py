@@ -30,11 +30,12 @@ def asof_prices(b: Binding) -> DataFrame:
 
 
 _RATES = """
-    asked AS (SELECT id, currency, date FROM dated),
-    direct AS (SELECT q.id, q.currency, q.date, p.price FROM asked q ASOF LEFT JOIN
+    asked AS (SELECT DISTINCT currency, date FROM dated),
+    direct AS (SELECT q.*, p.price FROM asked q ASOF LEFT JOIN
                (SELECT * FROM fx WHERE currency = 'USD') p ON p.commodity = q.currency AND q.date >= p.date),
-    rates AS (SELECT q.id, q.currency, q.date, q.price AS direct, p.price AS reversed FROM direct q ASOF LEFT JOIN
-               (SELECT * FROM fx WHERE commodity = 'USD') p ON p.currency = q.currency AND q.date >= p.date)"""
+    days AS (SELECT q.currency, q.date, q.price AS direct, p.price AS reversed FROM direct q ASOF LEFT JOIN
+               (SELECT * FROM fx WHERE commodity = 'USD') p ON p.currency = q.currency AND q.date >= p.date),
+    rates AS (SELECT id, amount, d.currency, d.date, direct, reversed FROM dated d JOIN days USING (currency, date))"""
 _RATE = "coalesce(direct, round(1::DOUBLE / reversed::DOUBLE, 8)::DECIMAL(18,8))"
 
 
@@ -49,9 +50,9 @@ def asof_rates(b: Binding) -> DataFrame:
 
 @query("X10", f"""
     WITH {_RATES}
-    SELECT r.id, amount, r.currency,
-           CASE WHEN r.currency = 'USD' THEN amount::DECIMAL(38,10) ELSE (amount::DECIMAL(20,2) * {_RATE})::DECIMAL(38,10) END AS converted
-    FROM rates r JOIN postings p ON p.id = r.id""")
+    SELECT id, amount, currency,
+           CASE WHEN currency = 'USD' THEN amount::DECIMAL(38,10) ELSE (amount::DECIMAL(20,2) * {_RATE})::DECIMAL(38,10) END AS converted
+    FROM rates""")
 def converted_amounts(b: Binding) -> DataFrame:
     dated = b.postings.select("id", "transaction_id", "amount", "currency").join(
         b.transactions.select(F.col("id").alias("transaction_id"), "date"), "transaction_id"
