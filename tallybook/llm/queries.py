@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,12 +13,15 @@ from tallybook.llm import (
     differencing,
     host_reputation,
     line_windows,
+    periodic_runs,
     piece_agenda,
     private_spans,
     robust_outliers,
     rotated_codes,
     segmentations,
     size_aware_join,
+    small_worlds,
+    spelling_variants,
     suffix_windows,
 )
 from tallybook.llm.common import read
@@ -195,3 +199,43 @@ def op5_suffix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without the bytes of repeated 200-byte strings."""
     found = suffix_windows.remove_repeated(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_small_worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links to others of its label and its component."""
+    return small_worlds.components(read(spark, sf_dir, "embeddings"))
+
+
+def _repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's texts: the tail of every tenth document repeats with a period."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    tail = words[a : a + p]
+    return words[:a] + (tail * (-(-(n - a) // p)))[: n - a]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs: their number, the longest, and digests of all and of the collapsed text."""
+    found = periodic_runs.find(read(spark, sf_dir, "documents"), change=_repeated_tail)
+    one = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    first = found.withColumn("one", one)
+    start, length, period = -F.col("one.col2"), F.col("one.length"), -F.col("one.col3")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return first.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's near words, form and root."""
+    counts = spelling_variants.word_counts(read(spark, sf_dir, "documents"), deleted=spelling_variants.DELETED)
+    return spelling_variants.variants(counts)
