@@ -114,14 +114,20 @@ def raw_rows_as_json(b: Binding) -> DataFrame:
 # ---- statement files ----
 
 
-def _statement_files(b: Binding) -> str:
+def _statement_files(b: Binding, broken: bool = False, faulty: bool = False) -> str:
     """The events as one CSV per user, in folders by event type, with a title
     line above the header and a footer line below the rows. The folder is
-    written once; its name says so."""
+    written once; its name says so.
+
+    ``broken``: descriptions are quoted and hold a line break, a separator and quotes.
+    ``faulty``: in every tenth user's file the last value's quote is not closed.
+    """
     amount = F.concat(F.when(F.col("event_type").isin("purchase", "signup"), "").otherwise("-"), F.lit("$"), F.format_number(F.col("value") * 10, 2))
+    payee = F.concat_ws(" ", F.upper("event_type"), F.col("user_id").cast("string"))
+    if broken:
+        payee = F.concat(F.lit('"'), F.upper("event_type"), F.lit(' ""No.""\n'), F.col("user_id").cast("string"), F.lit(', end"'))
     line = F.concat_ws(
-        ",", F.date_format("ts", "MM/dd/yyyy"), F.concat_ws(" ", F.upper("event_type"), F.col("user_id").cast("string")),
-        F.concat(F.lit('"'), amount, F.lit('"')), F.col("event_id").cast("string"),
+        ",", F.date_format("ts", "MM/dd/yyyy"), payee, F.concat(F.lit('"'), amount, F.lit('"')), F.col("event_id").cast("string"),
     )
     events = b.table("events").select("user_id", F.col("event_id").alias("at"), line.alias("value"))
     users = events.select("user_id").distinct()
@@ -130,8 +136,13 @@ def _statement_files(b: Binding) -> str:
         F.struct(F.lit(-1).cast("long").alias("at"), F.lit("Posting Date,Description,Amount,Ref").alias("value")),
         F.struct(F.lit(1 << 62).alias("at"), F.lit("End of statement").alias("value")),
     )).alias("l")).select("user_id", "l.at", "l.value")
+    rows = events.unionByName(first)
+    if faulty:
+        rows = rows.unionByName(users.filter("user_id % 10 = 3").select(
+            "user_id", F.lit((1 << 62) - 1).alias("at"), F.lit('01/31/2024,"never closed,1.00,0').alias("value")
+        ))
     root = scratch_path(b.spark, "statements")
-    ordered = events.unionByName(first).repartition("user_id").sortWithinPartitions("user_id", "at")
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "at")
     ordered.select("user_id", "value").write.partitionBy("user_id").text(root)
     return root
 
@@ -148,6 +159,19 @@ def statement_file_rows(b: Binding) -> DataFrame:
     )
 
 
+@query("S2", """
+    SELECT user_id::VARCHAR AS folder, event_id::VARCHAR AS ref, strftime(ts, '%m/%d/%Y') AS date,
+           upper(event_type) || ' "No."' || chr(10) || user_id || ', end' AS description
+    FROM events""")
+def quoted_line_breaks(b: Binding) -> DataFrame:
+    """The same files with line breaks, separators and quotes inside quoted values."""
+    rows = statements.read_statements(b.spark, _statement_files(b, broken=True), header_row=1, skip_footer_rows=1, glob="*.txt")
+    return rows.select(
+        F.regexp_extract("file", r"user_id=(\d+)", 1).alias("folder"), F.col("data")["Ref"].alias("ref"),
+        F.col("data")["Posting Date"].alias("date"), F.col("data")["Description"].alias("description"),
+    )
+
+
 @query("S3 S4 S7 S5 A23", """
     SELECT user_id::VARCHAR AS folder, 'txt' AS file_type, ',' AS delimiter, 4::BIGINT AS columns, count(*)::BIGINT AS total, 2024::INTEGER AS year
     FROM events GROUP BY user_id""", year="int")
@@ -362,6 +386,57 @@ def import_statistics(b: Binding) -> DataFrame:
     return _bank(b).stats
 
 
+def _folder(b: Binding, **options) -> ingest.ImportedFolder:
+    """A folder in which files of users below 50 were loaded before and some are faulty."""
+    root = _statement_files(b, faulty=True)
+    user = F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long")
+    loaded = files.source_file_rows(files.read_files(b.spark, root, "*.txt").filter(user < 50))
+    before = b.ledger.with_tables(source_files=b.empty_table("source_files").unionByName(loaded, allowMissingColumns=True))
+    mapping = {**b.MAPPING, "header_row": 1, "skip_footer_rows": 1}
+    return ingest.import_folder(b.spark, before, root, mapping, "Assets:Bank:Checking", _rules(b), "my bank", "*.txt", **options)
+
+
+_OUTCOMES = f"""
+    {_ROWS}, outcomes AS (
+        SELECT user_id, CASE WHEN user_id < 50 THEN 'skipped' WHEN user_id % 10 = 3 THEN 'failed' ELSE 'imported' END AS status,
+               CASE WHEN user_id < 50 THEN 'known content' WHEN user_id % 10 = 3 THEN 'unclosed quote' END AS reason,
+               CASE WHEN user_id < 50 OR user_id % 10 = 3 THEN 0 ELSE count(*) END AS total,
+               CASE WHEN user_id < 50 OR user_id % 10 = 3 THEN 0 ELSE count(*) FILTER (amount <> 0) END AS imported
+        FROM rows JOIN events ON event_id = row_index GROUP BY user_id)"""
+
+
+@query("S5 S6 A23", f"WITH {_OUTCOMES} SELECT user_id::VARCHAR AS folder, status, reason, total, imported FROM outcomes")
+def folder_outcomes(b: Binding) -> DataFrame:
+    """What became of each file of a folder."""
+    return _folder(b).outcomes.select(F.regexp_extract("file", r"user_id=(\d+)", 1).alias("folder"), "status", "reason", "total", "imported")
+
+
+@query("S5 A23 M12", f"""
+    WITH {_OUTCOMES}
+    SELECT count(*) FILTER (status = 'imported')::BIGINT AS imported_files, count(*) FILTER (status <> 'imported')::BIGINT AS skipped_files,
+           sum(imported)::BIGINT AS total_transactions, count(*) FILTER (status = 'failed')::BIGINT AS failed_files FROM outcomes""")
+def folder_result(b: Binding) -> DataFrame:
+    return _folder(b).result().select(
+        "imported_files", "skipped_files", "total_transactions", F.col("errors")["unclosed quote"].alias("failed_files")
+    )
+
+
+@query("M12 E1 T1", f"""
+    WITH {_CATEGORISED}, kept AS (SELECT c.* FROM categorised c JOIN events ON event_id = row_index WHERE user_id >= 50 AND user_id % 10 <> 3),
+    added AS (SELECT 'Assets:Bank:Checking' AS account, amount FROM kept UNION ALL SELECT account_name, -amount FROM kept)
+    SELECT a.name AS account, year_month, m.currency, closing_balance FROM monthly m JOIN accounts a ON a.id = m.account_id
+    UNION ALL SELECT account, '2024-01', 'USD', sum(amount)::DECIMAL(28,2) FROM added GROUP BY account""", closing_balance="decimal(28,2)")
+def summaries_after_import(b: Binding) -> DataFrame:
+    """Monthly balances and net worth stored before a folder is imported, refreshed by
+    the import; the balances by account."""
+    names = ["s_net_worth", "s_account_monthly_balances"]
+    before = {name: stored(summaries.registry.rebuild_one(name, b.ledger), name) for name in names}
+    done = _folder(b, summaries=before)
+    accounts = done.ledger.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account"))
+    monthly = done.summaries["s_account_monthly_balances"]
+    return monthly.join(accounts, "account_id").select("account", "year_month", "currency", "closing_balance")
+
+
 @query("M11", """
     SELECT account_id, currency, sum(amount)::DECIMAL(28,2) AS balance
     FROM dated WHERE strftime(date, '%Y') <> '1998' GROUP BY 1, 2""", balance="decimal(28,2)")
@@ -470,21 +545,19 @@ def partition_overwrites(b: Binding) -> DataFrame:
 
 @query("T1 W1 W2", "SELECT account_id, year_month, currency, closing_balance FROM monthly", closing_balance="decimal(28,2)")
 def streamed_monthly_balances(b: Binding) -> DataFrame:
-    """Postings arriving in two parts, the later dates first: the second batch is back-dated."""
+    """Postings arriving in parts, the later dates first: the last batch is back-dated."""
     root = scratch_path(b.spark, "stream")
     headers = b.transactions.select(F.col("id").alias("transaction_id"), "date")
     posted = b.postings.select("id", "transaction_id", "account_id", "amount", "currency").join(headers, "transaction_id")
     order = ["id", "transaction_id", "account_id", "amount", "currency", "date"]
     later = F.col("date") >= F.lit("1998-06-01").cast("date")
-    names = ["s_daily_balances", "s_account_monthly_balances"]
-    last = -1
-    for part in (posted.filter(later), posted.filter(~later)):
+    for part in (posted.filter(later), posted.limit(0), posted.filter(~later)):
         part.select(*order).write.mode("append").parquet(f"{root}/in")
         arriving = b.spark.readStream.schema(stream_refresh.POSTED).parquet(f"{root}/in")
-        running = stream_refresh.refresh_stream(arriving, f"{root}/out", b.ledger, names).trigger(availableNow=True).start()
+        running = stream_refresh.refresh_stream(arriving, f"{root}/out").trigger(availableNow=True).start()
         running.awaitTermination()
-        last = running.lastProgress["batchId"]
-    return stream_refresh.read_summary(b.spark, f"{root}/out", "s_account_monthly_balances", last)
+    last = running.lastProgress["batchId"]
+    return stream_refresh.read_summary(b.spark, f"{root}/out", "s_account_monthly_balances", last, b.ledger)
 
 
 @query("T2 M12 S6", f"""

@@ -10,7 +10,7 @@ from tallybook.catalog.registry import query
 from tallybook.ledger import Ledger
 from tallybook.operators import lot_history
 from tallybook.operators import lots as lt
-from tallybook.plans import reports, summaries
+from tallybook.plans import changes, reports, summaries
 
 _QTY = "decimal(18,2)"
 
@@ -237,7 +237,37 @@ def fifo_history(b: Binding) -> DataFrame:
     return lot_history.dispose_history(b.lots, b.sales, b.fifo_accounts).select("account_id", "commodity", "lot_id", "sale_id", "quantity", "gain_loss", "term")
 
 
-@query("J18 M6")
+# One step books one event, or takes from one lot what a sale still wants; the first lot of ``open`` is sold next.
+_BOOKED = """
+    WITH RECURSIVE steps AS (
+        SELECT e.*, w.refused, t.date, CASE booking_method WHEN 'HIFO' THEN -t.price ELSE
+               date_diff('day', DATE '1990-01-01', t.date) * CASE booking_method WHEN 'LIFO' THEN -1 ELSE 1 END END::DECIMAL(18,2) AS k1,
+               CASE booking_method WHEN 'LIFO' THEN -e.id ELSE e.id END AS k2
+        FROM holding_events e JOIN walk w USING (account_id, commodity, n) JOIN custody USING (account_id) JOIN trades t ON t.id = e.id),
+    booked AS (
+        SELECT account_id, commodity, 0::BIGINT AS n, NULL::BIGINT AS sale_id, 0::DECIMAL(18,2) AS rest,
+               []::STRUCT(k1 DECIMAL(18,2), k2 BIGINT, id BIGINT, here DECIMAL(18,2))[] AS open, NULL::BIGINT AS lot_id, 0::DECIMAL(18,2) AS used
+        FROM (SELECT DISTINCT account_id, commodity FROM steps)
+        UNION ALL
+        SELECT b.account_id, b.commodity, CASE WHEN rest > 0 THEN b.n ELSE e.n END, CASE WHEN rest > 0 THEN b.sale_id ELSE e.id END,
+               CASE WHEN rest > 0 THEN rest - least(rest, open[1].here) WHEN sale AND NOT refused THEN quantity ELSE 0 END::DECIMAL(18,2),
+               CASE WHEN rest > 0 AND open[1].here <= rest THEN open[2:]
+                    WHEN rest > 0 THEN list_prepend({'k1': open[1].k1, 'k2': open[1].k2, 'id': open[1].id, 'here': (open[1].here - rest)::DECIMAL(18,2)}, open[2:])
+                    WHEN NOT sale THEN list_sort(list_append(open, {'k1': e.k1, 'k2': e.k2, 'id': e.id, 'here': quantity})) ELSE open END,
+               CASE WHEN rest > 0 THEN open[1].id END, CASE WHEN rest > 0 THEN least(rest, open[1].here) ELSE 0 END::DECIMAL(18,2)
+        FROM booked b LEFT JOIN steps e ON e.account_id = b.account_id AND e.commodity = b.commodity AND e.n = b.n + 1 AND rest = 0
+        WHERE rest > 0 OR e.n IS NOT NULL)"""
+
+
+@query("J18 M6 X9", f"""{_BOOKED}
+    SELECT b.account_id, b.commodity, lot_id, sale_id, used AS quantity, ((s.price - l.price) * used)::DECIMAL(28,4) AS gain_loss,
+           CASE WHEN date_diff('day', l.date, s.date)
+                     > CASE jurisdiction || '.' || asset_class WHEN 'IN.debt' THEN 1095 WHEN 'IN.elss' THEN 1095 ELSE 365 END
+                THEN 'long' ELSE 'short' END AS term,
+           s.price < l.price AND EXISTS (SELECT 1 FROM lots p WHERE p.account_id = b.account_id AND p.commodity = b.commodity
+               AND p.acquired_date BETWEEN s.date - 30 AND s.date - 1) AS wash_sale
+    FROM booked b JOIN trades l ON l.id = lot_id JOIN trades s ON s.id = sale_id JOIN custody c ON c.account_id = b.account_id
+    WHERE used > 0""", quantity=_QTY, gain_loss="decimal(28,4)")
 def booked_history(b: Binding) -> DataFrame:
     """Each account by its own booking method, with sales beyond the holding."""
     return lot_history.dispose_history(b.lots, b.sales, b.accounts).select(
@@ -445,3 +475,109 @@ def wash_sales(b: Binding) -> DataFrame:
     FROM dispositions GROUP BY 1, 2""", total_gain_loss="decimal(28,4)")
 def gains_by_jurisdiction(b: Binding) -> DataFrame:
     return reports.gains_by_jurisdiction(reports.capital_gains_detail(b.custody_ledger))
+
+
+# ---- changes to holdings with transfers on record ----
+
+
+def _replay(day: str, kept: str, final: str) -> str:
+    """Trades (their day, and which are kept) and transfers replayed one by one, a pair of accounts and a
+    commodity at a time. A step books one event or takes from one lot; ``open`` has the lots of both accounts."""
+    own = "list_filter(open, lambda x: x.acct = who)"
+    first = """list_aggregate(list_transform({own}, lambda x: {{'k1': CASE how WHEN 'HIFO' THEN -x.cost WHEN 'LIFO' THEN -x.day ELSE x.day END,
+                   'k2': CASE how WHEN 'LIFO' THEN -x.id ELSE x.id END, 'id': x.id, 'here': x.here, 'day': x.day, 'cost': x.cost}}), 'min')""".format(own=own)
+    lot = "STRUCT(id BIGINT, acct BIGINT, day DECIMAL(18,2), cost DECIMAL(18,2), here DECIMAL(18,2))"
+    return f"""
+    WITH RECURSIVE moves AS (
+        SELECT (((account_id - 2) // 10) * 100 + split_part(commodity, '#', 2)::BIGINT) * 10 + ((account_id - 2) // 10) % 2 AS id, account_id,
+               CASE ((account_id - 2) // 10) % 2 WHEN 0 THEN account_id + 10 ELSE account_id - 10 END AS to_id, commodity,
+               floor(sum(quantity) / 4)::DECIMAL(18,2) AS quantity,
+               CASE ((account_id - 2) // 10) % 2 WHEN 0 THEN DATE '1998-01-01' ELSE DATE '1999-06-01' END AS date
+        FROM lots WHERE acquired_date < DATE '1998-01-01' AND account_id < 240 GROUP BY account_id, commodity HAVING sum(quantity) >= 4),
+    happened AS (
+        SELECT id, account_id, 0::BIGINT AS to_id, commodity, quantity, price, {day} AS date, CASE WHEN sale THEN 2 ELSE 0 END AS kind FROM trades WHERE {kept} UNION ALL
+        SELECT id, account_id, to_id, commodity, quantity, 0, date, 1 FROM moves),
+    steps AS (
+        SELECT h.*, booking_method, ((account_id - 2) // 20) AS pair, date_diff('day', DATE '1990-01-01', date)::DECIMAL(18,2) AS day,
+               row_number() OVER (PARTITION BY (account_id - 2) // 20, commodity ORDER BY date, kind, id) AS n
+        FROM happened h JOIN custody USING (account_id)),
+    held AS (
+        SELECT pair, commodity, 0::BIGINT AS n, 0::INTEGER AS kind, 0::BIGINT AS event, 0::BIGINT AS who, 0::BIGINT AS to_id, '' AS how, 0::DECIMAL(18,2) AS rest,
+               []::{lot}[] AS open, NULL::BIGINT AS lot_id, 0::DECIMAL(18,2) AS day, 0::DECIMAL(18,2) AS cost, 0::DECIMAL(18,2) AS used
+        FROM (SELECT DISTINCT pair, commodity FROM steps)
+        UNION ALL
+        SELECT pair, commodity, n, kind, event, who, to_id, how, (rest - used)::DECIMAL(18,2),
+               CASE WHEN used = 0 THEN open
+                    WHEN kind = 2 THEN list_filter(list_transform(open, lambda x: {{'id': x.id, 'acct': x.acct, 'day': x.day, 'cost': x.cost,
+                         'here': (x.here - CASE WHEN x.id = lot_id THEN used ELSE 0 END)::DECIMAL(18,2)}}), lambda x: x.here > 0)
+                    WHEN used = here THEN list_transform(open, lambda x: {{'id': x.id, 'acct': CASE WHEN x.id = lot_id THEN to_id ELSE x.acct END,
+                         'day': x.day, 'cost': x.cost, 'here': x.here}})
+                    ELSE list_append(list_transform(open, lambda x: {{'id': x.id, 'acct': x.acct, 'day': x.day, 'cost': x.cost,
+                         'here': (x.here - CASE WHEN x.id = lot_id THEN used ELSE 0 END)::DECIMAL(18,2)}}),
+                         {{'id': -('0x' || substr(sha256(lot_id || ':' || event), 1, 15))::BIGINT, 'acct': to_id, 'day': day, 'cost': cost, 'here': used}}) END,
+               lot_id, day, cost, used
+        FROM (
+            SELECT pair, commodity, n, kind, event, who, to_id, how, rest, open, f.id AS lot_id, f.day AS day, f.cost AS cost, f.here AS here,
+                   CASE WHEN rest > 0 THEN least(rest, f.here) ELSE 0 END::DECIMAL(18,2) AS used
+            FROM (
+                SELECT pair, commodity, n, kind, event, who, to_id, how, open, CASE WHEN rest > 0 THEN {first} END AS f,
+                       CASE WHEN rest > 0 AND fresh AND coalesce(list_sum(list_transform({own}, lambda x: x.here)), 0) < rest THEN 0 ELSE rest END::DECIMAL(18,2) AS rest
+                FROM (
+                    SELECT h.pair, h.commodity, CASE WHEN h.rest > 0 THEN h.n ELSE e.n END AS n, CASE WHEN h.rest > 0 THEN h.kind ELSE e.kind END AS kind,
+                           CASE WHEN h.rest > 0 THEN h.event ELSE e.id END AS event, CASE WHEN h.rest > 0 THEN h.who ELSE e.account_id END AS who,
+                           CASE WHEN h.rest > 0 THEN h.to_id ELSE e.to_id END AS to_id, CASE WHEN h.rest > 0 THEN h.how ELSE e.booking_method END AS how,
+                           h.rest = 0 AS fresh, CASE WHEN h.rest > 0 THEN h.rest WHEN e.kind = 0 THEN 0 ELSE e.quantity END::DECIMAL(18,2) AS rest,
+                           CASE WHEN h.rest = 0 AND e.kind = 0 THEN list_append(h.open, {{'id': e.id, 'acct': e.account_id, 'day': e.day,
+                                'cost': e.price::DECIMAL(18,2), 'here': e.quantity::DECIMAL(18,2)}}) ELSE h.open END AS open
+                    FROM held h LEFT JOIN steps e ON e.pair = h.pair AND e.commodity = h.commodity AND e.n = h.n + 1 AND h.rest = 0
+                    WHERE h.rest > 0 OR e.n IS NOT NULL))))
+    {final}"""
+
+
+def _traded(b: Binding) -> Ledger:
+    """Trades by month of their file, with transfers between each even nation's account and
+    the next one's on record: a quarter of what the one bought before 1998 goes over in
+    1998, and likewise back in 1999."""
+    nation = F.floor((F.col("account_id") - 2) / 10).cast("long")
+    even = nation % 2 == 0
+    bought = b.lots.filter((F.col("acquired_date") < F.lit("1998-01-01").cast("date")) & (F.col("account_id") < 240))
+    moves = bought.groupBy("account_id", "commodity").agg(F.floor(F.sum("quantity") / 4).cast("decimal(18,8)").alias("quantity")).filter("quantity >= 1").select(
+        ((nation * 100 + F.split_part(F.col("commodity"), F.lit("#"), F.lit(2)).cast("long")) * 10 + nation % 2).alias("transfer_id"),
+        F.col("account_id").alias("from_account_id"), F.when(even, F.col("account_id") + 10).otherwise(F.col("account_id") - 10).alias("to_account_id"),
+        "commodity", "quantity", F.lit(None).cast("string").alias("booking_method"),
+        F.when(even, "1998-01-01").otherwise("1999-06-01").cast("date").alias("date"),
+    )
+    named = b.trade_transactions.select(
+        "id", F.md5(F.col("id").cast("string")).alias("uuid"), "date", (F.year("date") * 100 + F.month("date")).cast("long").alias("source_file_id")
+    )
+    typed = {"transactions": named, "postings": b.trade_postings, "transfers": moves}
+    return b.ledger.with_tables(**{n: changes._as(t, b.empty_table(n)) for n, t in typed.items()})
+
+
+@query("M4 M9 M10", _replay("CASE WHEN id % 3 = 0 THEN date + 1 ELSE date END", "id % 7 <> 0", """
+    , last AS (SELECT pair, commodity, arg_max(open, n * 1000000 - rest) AS open FROM held GROUP BY 1, 2)
+    SELECT o.acct AS account_id, commodity, DATE '1990-01-01' + o.day::INTEGER AS acquired_date, o.cost AS cost_price, sum(o.here)::DECIMAL(18,2) AS quantity
+    FROM (SELECT commodity, unnest(open) AS o FROM last) GROUP BY 1, 2, 3, 4"""), cost_price=_QTY, quantity=_QTY)
+def amended_after_transfer(b: Binding) -> DataFrame:
+    """All trades amended, a third moved by a day and a seventh deleted, with transfers on record; what is held after."""
+    start = _traded(b)
+    updates = start.transactions.select(
+        "uuid", (F.col("id") % 7 == 0).alias("delete"), F.when(F.col("id") % 3 == 0, F.date_add("date", 1)).alias("date")
+    )
+    after = changes.amend_transactions(start, updates).ledger
+    return after.lots.filter("quantity > 0").groupBy("account_id", "commodity", "acquired_date", "cost_price").agg(F.sum("quantity").alias("quantity"))
+
+
+@query("M11 M9", _replay("date", "year(date) <> 1997", """
+    SELECT event AS sell_transaction_id, DATE '1990-01-01' + day::INTEGER AS acquired_date, cost AS cost_price, sum(used)::DECIMAL(18,2) AS quantity
+    FROM held WHERE kind = 2 AND used > 0 AND (who, commodity) IN (SELECT (account_id, commodity) FROM trades WHERE year(date) = 1997) GROUP BY 1, 2, 3"""),
+    cost_price=_QTY, quantity=_QTY)
+def undone_with_lots(b: Binding) -> DataFrame:
+    """The files of 1997 undone with transfers on record; what the holdings they touch sold of which lots."""
+    start = _traded(b)
+    months = start.transactions.select("source_file_id").distinct().filter(F.col("source_file_id").between(199701, 199712))
+    after = changes.undo_imports(start, months).ledger
+    lots = after.lots.select(F.col("id").alias("lot_id"), "acquired_date", "cost_price")
+    touched = b.trades.filter(F.year("date") == 1997).select("account_id", "commodity").distinct()
+    sold = b.trades.join(touched, ["account_id", "commodity"], "left_semi").select(F.col("id").alias("sell_transaction_id"))
+    return after.lot_dispositions.join(lots, "lot_id").join(sold, "sell_transaction_id", "left_semi").groupBy("sell_transaction_id", "acquired_date", "cost_price").agg(F.sum("quantity").alias("quantity"))

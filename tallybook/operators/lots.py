@@ -134,17 +134,29 @@ def take_lots(lots: DataFrame, demands: DataFrame, block_bits: int = BLOCK_BITS)
     are summed block-wise, so a hot holding is spread over many tasks; a demand
     that exceeds the holding takes all of it, one of an unknown booking method
     nothing (``rejected`` lists it).
+
+    Lots and demands lie on one axis, lots where those ahead of them end. How many lots
+    lie before a demand is one more running sum, and these are its lots, met by
+    their numbers: the work grows with what is taken, however many demands ask.
     """
     booking = [*KEYS, "booking_method"]
     demands = demands.filter(known_method())
     wanted = demands.select(*booking).distinct()
-    queue = in_booking_order(open_lots(lots).join(wanted, KEYS))
-    ahead = sums_before(queue, booking, "major", "minor", ["quantity"], block_bits)
-    met = ahead.join(demands.select("demand_id", *booking, "demand"), booking).filter(
-        F.col("quantity_before") < F.col("demand")
+    queue = in_booking_order(open_lots(lots).join(wanted, KEYS)).withColumn("one", F.lit(1).cast("long"))
+    ahead = stored(sums_before(queue, booking, "major", "minor", ["quantity", "one"], block_bits), "queue")
+    asked = stored(demands.select("demand_id", *booking, "demand"), "asked")
+
+    # A lot where a demand ends is not before it, so demands go first.
+    place = "decimal(38,8)"
+    axis = ahead.select(*booking, F.struct(F.col("quantity_before").cast(place).alias("at"), F.lit(1).alias("side")).alias("at"), "id", "one").unionByName(
+        asked.select(*booking, F.struct(F.col("demand").cast(place).alias("at"), F.lit(0).alias("side")).alias("at"), F.col("demand_id").alias("id"), F.lit(0).cast("long").alias("one"))
     )
+    counted = sums_before(axis, booking, "at", "id", ["one"], block_bits).filter("at.side = 0 and one_before > 0")
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("one_before") - 1))
+    wanted = counted.select(*booking, F.col("id").alias("demand_id"), numbers.alias("one_before")).join(asked, [*booking, "demand_id"])
+    met = ahead.join(wanted, [*booking, "one_before"])
     taken = F.least(F.col("quantity"), F.col("demand") - F.col("quantity_before")).cast(QUANTITY)
-    return met.withColumn("taken", taken).drop("major", "minor", "quantity_before")
+    return met.withColumn("taken", taken).select(*lots.columns, "booking_method", "demand_id", "demand", "taken")
 
 
 def known_method(method: str = "booking_method") -> Column:
@@ -469,6 +481,15 @@ def sales_in_todays_units(sales: DataFrame, actions: DataFrame) -> DataFrame:
     ).select(*sales.columns, "_up", "_down")
 
 
+def transfers_in_todays_units(transfers: DataFrame, actions: DataFrame) -> DataFrame:
+    """Transfers with quantities scaled by the actions after their day."""
+    scaled = transfers.join(_actions_by_commodity(actions), "commodity", "left")
+    due = _after(F.col("actions"), F.col("date"))
+    one = F.lit(1).cast(RATIO)
+    quantity = _scaled(F.col("quantity"), F.coalesce(_product(due, "up"), one), F.coalesce(_product(due, "down"), one), QUANTITY)
+    return scaled.withColumn("quantity", quantity).select(*transfers.columns)
+
+
 def in_units_of_the_day(dispositions: DataFrame, sales: DataFrame) -> DataFrame:
     """Dispositions in today's units, matched from ``sales_in_todays_units``, back in
     those of their sale's day; gains stay as they are."""

@@ -8,8 +8,9 @@ a rebuild, also for back-dated changes.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -331,14 +332,18 @@ def refresh_yearly_capital_gains(stored: DataFrame, ledger: Ledger, affected: Af
 
 @dataclass(frozen=True)
 class Summary:
+    """How a summary is built and refreshed. ``reads`` names core tables, ``inputs`` the
+    summaries it is derived from, by the name of the argument that ``refresh`` takes them as."""
+
     rebuild: Callable[..., DataFrame]
     refresh: Callable[..., DataFrame]
     partition_by: str | None = None
+    reads: frozenset[str] = frozenset()
+    inputs: Mapping[str, str] = field(default_factory=dict)
 
 
 class Registry:
-    """Named summaries, built in registration order; a summary that reads another
-    is registered after it."""
+    """Named summaries and what they are derived from."""
 
     def __init__(self) -> None:
         self._summaries: dict[str, Summary] = {}
@@ -354,6 +359,38 @@ class Registry:
             raise KeyError(f"no summary named {name!r}")
         return self._summaries[name]
 
+    def ordered(self, names: Iterable[str] | None = None) -> list[str]:
+        """The summaries, or some of them, as registered, but each behind those it is derived from."""
+        inputs = {n: list(s.inputs.values()) for n, s in self._summaries.items()}
+        try:
+            TopologicalSorter(inputs).prepare()
+        except CycleError as error:
+            raise ValueError(f"summaries derived from each other: {', '.join(error.args[1])}") from error
+        every: list[str] = []
+
+        def add(name: str) -> None:
+            if name not in every:
+                self[name]
+                for of in inputs[name]:
+                    add(of)
+                every.append(name)
+
+        for name in inputs:
+            add(name)
+        wanted = set(every if names is None else names)
+        return [n for n in every if n in wanted]
+
+    def due(self, changed: Iterable[str]) -> list[str]:
+        """The summaries that a change of some core tables or summaries reaches, in order."""
+        reached = set(changed)
+        found = []
+        for name in self.ordered():
+            summary = self[name]
+            if summary.reads & reached or reached & set(summary.inputs.values()):
+                reached.add(name)
+                found.append(name)
+        return found
+
     def rebuild_one(self, name: str, ledger: Ledger) -> DataFrame:
         return self[name].rebuild(ledger)
 
@@ -362,23 +399,36 @@ class Registry:
         holdings reflect past sales."""
         lot_rows = lots.replay_lots(ledger.lots, ledger.lot_dispositions, ledger.transactions, actions)
         ledger = ledger.with_tables(lots=lot_rows)
-        return {name: self.rebuild_one(name, ledger) for name in self._summaries}
+        return {name: self.rebuild_one(name, ledger) for name in self.ordered()}
 
     def refresh_all(
-        self, stored: dict[str, DataFrame], ledger: Ledger, affected: Affected
+        self, stored: Mapping[str, DataFrame], ledger: Ledger, affected: Affected, changed: Iterable[str] | None = None
     ) -> dict[str, DataFrame]:
-        """Each summary after the change. Net worth reads the refreshed monthly balances."""
+        """Each ``stored`` summary after the change; with ``changed`` core tables, those
+        that the change does not reach as they were. A summary derived from another
+        reads its refreshed rows; where those aren't stored, it derives them itself."""
+        due = set(self._summaries if changed is None else self.due(changed))
         fresh: dict[str, DataFrame] = {}
-        for name, summary in self._summaries.items():
-            extra = {"monthly": fresh["s_account_monthly_balances"]} if name == "s_net_worth" else {}
-            fresh[name] = summary.refresh(stored[name], ledger, affected, **extra)
+        for name in self.ordered(stored):
+            summary = self[name]
+            given = {arg: fresh[of] for arg, of in summary.inputs.items() if of in fresh}
+            fresh[name] = summary.refresh(stored[name], ledger, affected, **given) if name in due else stored[name]
         return fresh
 
 
+def _reading(*tables: str) -> frozenset[str]:
+    return frozenset(tables)
+
+
 registry = Registry()
-registry.register("s_daily_balances", Summary(daily_balances, refresh_daily_balances))
-registry.register("s_monthly_spending", Summary(monthly_spending, refresh_monthly_spending, "year_month"))
-registry.register("s_account_monthly_balances", Summary(monthly_balances, refresh_monthly_balances, "year_month"))
-registry.register("s_portfolio_holdings", Summary(portfolio_holdings, refresh_portfolio_holdings))
-registry.register("s_net_worth", Summary(net_worth, refresh_net_worth, "year_month"))
-registry.register("s_yearly_capital_gains", Summary(yearly_capital_gains, refresh_yearly_capital_gains, "year"))
+registry.register("s_daily_balances", Summary(daily_balances, refresh_daily_balances, None, _reading("transactions", "postings")))
+registry.register("s_monthly_spending", Summary(
+    monthly_spending, refresh_monthly_spending, "year_month", _reading("transactions", "postings", "accounts")))
+registry.register("s_account_monthly_balances", Summary(
+    monthly_balances, refresh_monthly_balances, "year_month", _reading("transactions", "postings")))
+registry.register("s_portfolio_holdings", Summary(
+    portfolio_holdings, refresh_portfolio_holdings, None, _reading("accounts", "lots", "prices")))
+registry.register("s_net_worth", Summary(
+    net_worth, refresh_net_worth, "year_month", _reading("accounts", "prices"), {"monthly": "s_account_monthly_balances"}))
+registry.register("s_yearly_capital_gains", Summary(
+    yearly_capital_gains, refresh_yearly_capital_gains, "year", _reading("accounts", "lots", "lot_dispositions", "transactions")))

@@ -53,7 +53,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and
-    survives the loss of any executor."""
+    survives the loss of any executor. ``released`` removes the files again."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder in whatever store its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def released(*frames: DataFrame) -> None:
+    """Remove the files of stored frames that nothing reads any more: what was derived
+    from them has itself been stored."""
+    for frame in frames:
+        removed(frame.sparkSession, frame.stored_at)

@@ -11,6 +11,7 @@ from tallybook.operators import lot_history as lh
 from tallybook.operators import lots as lt
 
 LOTS = "id long, account_id long, commodity string, original_quantity decimal(18,8), cost_price decimal(18,8), cost_currency string, acquired_date date"
+LOTS_ALL = "id long, account_id long, commodity string, quantity decimal(18,8), original_quantity decimal(18,8), cost_price decimal(18,8), cost_currency string, acquired_date date, label string, lock_until date, source_transaction_id long, disposed boolean"
 SALES = "id long, account_id long, commodity string, quantity decimal(18,8), proceeds_per_unit decimal(18,8), proceeds_currency string, sell_date date, sell_transaction_id long"
 
 
@@ -204,3 +205,23 @@ def test_replay_scales_sales_before_a_split(make):
     gone = make("lot_id long, sell_transaction_id long, quantity decimal(18,8)", [(1, 50, 2), (1, 51, 8)])
     days = make("id long, date date", [(50, "2024-03-01"), (51, "2024-06-01")])
     assert rows(lt.replay_lots(lots, gone, days, split), "quantity") == [(24,)]
+
+
+def test_many_demands_of_one_holding(make, spark):
+    """What demands take is as much work as there are rows of it."""
+    rng = random.Random(11)
+    held = [(i, 1, "X", q, q, rng.randrange(1, 9) * 10, "USD", f"2024-01-{rng.randrange(1, 29):02d}", None, None, i, False) for i, q in ((i, rng.randrange(1, 6)) for i in range(1, 301))]
+    lots = make(LOTS_ALL, held)
+    demands = [(1000 + k, 1, "X", rng.randrange(1, 12), rng.choice(["FIFO", "LIFO", "HIFO"])) for k in range(400)] + [(5000, 1, "X", 100_000, "FIFO"), (5001, 1, "X", 5, "OTHER"), (5002, 9, "X", 5, "FIFO")]
+    asked = make("demand_id long, account_id long, commodity string, demand decimal(18,8), booking_method string", demands)
+    for bits in (20, 3):
+        got = rows(lt.take_lots(lots, asked, bits), "demand_id", "id", "taken")
+        keys = {"FIFO": lambda r: (r[7], r[0]), "LIFO": lambda r: (-int(r[7][-2:]), -r[0]), "HIFO": lambda r: (-r[5], r[0])}
+        want = []
+        for number, account, _, wanted, method in demands:
+            for row in sorted(held, key=keys[method]) if account == 1 and method in keys else ():
+                used = min(wanted, row[3])
+                if used:
+                    want.append((number, row[0], used))
+                wanted -= used
+        assert [tuple(map(int, r)) for r in got] == sorted(want, key=lambda r: tuple(str(v) for v in r))

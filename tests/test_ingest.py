@@ -1,9 +1,14 @@
 """Statement files, imports, ledger changes, quotes and streams."""
 
+import csv
+import datetime as dt
+import random
 import shutil
+from functools import reduce
 
 import pytest
 from conftest import rows
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook import Ledger
@@ -81,6 +86,95 @@ def test_lines_of_one_file_over_many_splits(spark, tmp_path):
     assert sorted((r["row_index"], r["n"], r["t"]) for r in got) == [(i, i, 2 * i) for i in range(5000)]
 
 
+def _csv_rows(text, header_row, footer):
+    """What a plain reader makes of a file, without blank records."""
+    lines = text.splitlines(keepends=True)[header_row:]
+    lines = lines[:-footer] if footer else lines
+    return [{k: v for k, v in row.items()} for row in csv.DictReader(lines)]
+
+
+def _random_value(rng):
+    kind = rng.random()
+    if kind < 0.5:
+        return rng.choice(["", "plain", "5'' pipe", 'inch 5"', "a b"])
+    inner = "".join(rng.choice(["x", " ", ",", "\n", '""', "y"]) for _ in range(rng.randint(0, 9)))
+    return f'"{inner}"' + rng.choice(["", "", "", "tail"])
+
+
+@pytest.mark.parametrize("split", [64, 700, 1 << 20])
+def test_quoted_line_breaks_over_splits(spark, tmp_path, split):
+    rng = random.Random(split)
+    folder = tmp_path / "quoted"
+    folder.mkdir()
+    texts = {}
+    for k in range(6):
+        head = ['title "with a quote'] * (k % 3) + ["id,one,two"]
+        body = [f"{i},{_random_value(rng)},{_random_value(rng)}" for i in range(60)]
+        feet = ['"open end'] * (k % 2)
+        texts[f"f{k}.csv"] = (k % 3, k % 2, "\n".join([*head, *body, *feet]) + "\n")
+        (folder / f"f{k}.csv").write_text(texts[f"f{k}.csv"][2])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        for name, (header, footer, text) in texts.items():
+            got = statements.read_statements(spark, str(folder), header, footer, glob=name)
+            found = [r["data"] for r in sorted(got.collect(), key=lambda r: r["row_index"])]
+            assert found == _csv_rows(text, header, footer)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_outcomes_of_a_folder(spark, tmp_path):
+    ledger, rules = Ledger.empty(spark), spark.createDataFrame(RULES, TABLES["categorization_rules"])
+    head, day = "Posting Date,Description,Amount,Type,Balance\n", "01/15/2024"
+    texts = {
+        "a.csv": f'{head}{day},"two\nlines",-5.00,Sale,\n{day},zero,0,Sale,\n', "b.csv": f'{head}{day},"two\nlines",-5.00,Sale,\n{day},zero,0,Sale,\n',
+        "c.csv": f'{head}{day},fine,-6.00,Sale,\n{day},"open,-7.00,Sale,\n', "d.csv": "", "e.csv": head, "f.pdf": "%PDF", "g.csv.gz": "no archive",
+        "h.csv": f"{head}{day},other,-8.00,Sale,\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+
+    def run(ledger, **options):
+        done = ingest.import_folder(spark, ledger, str(tmp_path), MAPPING, "Assets:Bank", rules, glob=None, **options)
+        found = {r["file"].rsplit("/", 1)[1]: (r["status"], r["reason"], r["total"], r["imported"]) for r in done.outcomes.collect()}
+        return done, found
+
+    done, found = run(ledger)
+    assert found == {
+        "a.csv": ("imported", None, 2, 1), "b.csv": ("skipped", "same content as another file", 0, 0), "c.csv": ("failed", "unclosed quote", 0, 0),
+        "e.csv": ("imported", None, 0, 0), "f.pdf": ("failed", "unsupported type", 0, 0),
+        "g.csv.gz": ("failed", "unreadable", 0, 0), "h.csv": ("imported", None, 1, 1),
+    }
+    assert tuple(done.result().first())[:3] == (3, 4, 2)  # Spark lists no empty files
+    assert done.result().first()["errors"] == {"unclosed quote": 1, "unreadable": 1, "unsupported type": 1}
+    after = done.ledger.stored()
+    assert {r[0] for r in after.transactions.select("payee").collect()} == {"two\nlines", "other"}
+    # A failed file is no source: mended, it is imported; the others are known by then.
+    (tmp_path / "c.csv").write_text(f'{head}{day},fine,-6.00,Sale,\n{day},"closed",-7.00,Sale,\n')
+    before = {name: summaries.registry.rebuild_one(name, after) for name in summaries.registry.names()}
+    again, found = run(after, summaries=before)
+    assert found["c.csv"] == ("imported", None, 2, 2) and found["a.csv"][:2] == ("skipped", "known content")
+    assert again.ledger.transactions.count() == 4
+    for name, df in again.summaries.items():
+        assert rows(df) == rows(summaries.registry.rebuild_one(name, again.ledger), *df.columns), name
+
+
+def test_summaries_know_what_they_are_derived_from():
+    registry = summaries.Registry()
+    one = lambda reads=(), **inputs: summaries.Summary(None, None, None, frozenset(reads), inputs)
+    registry.register("top", one(["prices"], low="middle"))
+    registry.register("middle", one(low="low"))
+    registry.register("low", one(["postings"]))
+    registry.register("other", one(["lots"]))
+    order = registry.ordered()
+    assert order.index("low") < order.index("middle") < order.index("top")
+    assert registry.due(["postings"]) == ["low", "middle", "top"] and registry.due(["prices"]) == ["top"] and registry.due(["middle"]) == ["top"]
+    registry.register("low", one(["postings"], high="top"))
+    with pytest.raises(ValueError, match="derived from each other"):
+        registry.ordered()
+
+
 def test_contents_and_stream_lines_agree(spark, folder):
     path = str(folder)
     whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.col("path").alias("file"), "content")
@@ -205,8 +299,38 @@ def test_statement_stream(spark, folder, tmp_path):
     assert first.transactions.count() == 3 and first.source_files.count() == 1
     shutil.copy(folder / "checking.csv", folder / "third.csv")
     (folder / "more.csv").write_text("Posting Date,Description,Amount\n03/01/2024,COFFEE BAR,-6.00\n")
+    (folder / "odd name.csv").write_text('Posting Date,Description,Amount\n03/02/2024,"open,-6.00\n')
     second = run()
     assert second.transactions.count() == 4 and second.source_files.count() == 2
+    assert rows(ss.read_outcomes(spark, root, 9), "reason", "total") == [("unclosed quote", 0), (None, 1), (None, 5)]
+    # What the first batch wrote is not written again, and a batch that is tried twice changes nothing.
+    new = [p for p in (tmp_path / "out" / "transactions" / "batch=1").rglob("*.parquet")]
+    assert spark.read.parquet(*map(str, new)).count() == 1
+    files = spark.createDataFrame([(f"file:{folder}/later.csv", f"file:{folder}/later.csv", 0, "f0" * 32)], "path string, file string, length long, sha256 string").withColumn("modified_at", F.current_timestamp())
+    (folder / "later.csv").write_text("Posting Date,Description,Amount\n01/18/2024,COFFEE BAR,-4.50\n04/01/2024,COFFEE BAR,-7.00\n")
+    for _ in range(2):
+        ss.import_batch(files, 2, root, start, MAPPING, "Assets:Bank", rules)
+    third = ss.read_state(spark, root, 2, start)
+    # One of the two rows has been there two days before; only months around the batch's days are looked at.
+    assert third.transactions.count() == 5 and third.postings.count() == 10 and third.source_files.count() == 3
+    assert third.accounts.groupBy("name").count().filter("count > 1").count() == 0
+    empty = files.limit(0)
+    ss.import_batch(empty, 3, root, start, MAPPING, "Assets:Bank", rules)
+    assert ss.read_state(spark, root, 3, start).transactions.count() == 5
+
+
+def test_near_duplicates_read_the_months_around_a_batch(spark, folder, tmp_path):
+    ledger, rules = Ledger.empty(spark), spark.createDataFrame(RULES, TABLES["categorization_rules"])
+    raw = statements.read_statements(spark, str(folder), recursive=False).withColumn("source_file_id", F.lit(5).cast("long"))
+    first = ingest.import_rows(ledger, raw, MAPPING, "Assets:Bank", rules).ledger.laid_out(str(tmp_path / "laid"))
+    own = first.accounts.filter("name = 'Assets:Bank'").select(F.col("id").alias("account_id"))
+    day = dt.date(2024, 1, 16)
+    near = ingest.near_ledger_rows(first, own, day, day, 3)
+    assert near.count() == 3 and ingest.near_ledger_rows(first, own, dt.date(2024, 3, 16), day.replace(month=4), 3).count() == 0
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(ledger_month") == 2 and "GreaterThanOrEqual(date,2024-01-13)" in plan
+    again = ingest.import_rows(first, raw.withColumn("source_file_id", F.lit(6).cast("long")), MAPPING, "Assets:Bank", rules)
+    assert rows(again.stats, "imported", "skipped") == [(0, 5)] and again.ledger.postings.count() == 6
 
 
 def test_refresh_stream_retry(spark, make, tmp_path):
@@ -221,14 +345,33 @@ def test_refresh_stream_retry(spark, make, tmp_path):
         return make(posted, out).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
 
     names = ["s_daily_balances", "s_monthly_spending", "s_account_monthly_balances", "s_net_worth"]
-    batches = [part((1, ("2024-03-01", 5)), (2, ("2024-05-01", 7))), part((3, ("2024-02-01", 2)), (4, ("2024-04-01", 3)))]
-    for i in (0, 1, 1):  # the second batch is tried twice
-        sr.refresh_batch(batches[i], i, root, base, names)
-    every = batches[0].unionByName(batches[1])
+    batches = [
+        part((1, ("2024-03-01", 5)), (2, ("2024-05-01", 7)), (5, ("2024-05-01", 1))), part((9, ("2024-01-01", 1))).limit(0),
+        part((3, ("2024-02-01", 2)), (4, ("2024-03-09", 3))), part((6, ("2024-06-01", 4)), (7, ("2024-06-01", 4))),
+    ]
+    versions = {}
+    for i in (0, 1, 2, 2, 3):  # the third batch is tried twice
+        sr.refresh_batch(batches[i], i, root, buckets=2)
+        versions[i] = {(r.year_month, r.bucket): r.version for r in sr._versions(spark, root, i).collect()}
+    every = reduce(DataFrame.unionByName, batches)
     whole = base.with_tables(transactions=every.selectExpr("transaction_id id", "date").distinct(), postings=every.drop("date"))
     for name in names:
         expected = summaries.registry.rebuild_one(name, whole)
-        assert rows(sr.read_summary(spark, root, name, 1), *expected.columns) == rows(expected), name
+        assert rows(sr.read_summary(spark, root, name, 3, base), *expected.columns) == rows(expected), name
+    # A batch writes the months and buckets it touches and no others; an empty one writes none.
+    assert versions[1] == versions[0] and {k[0] for k, v in versions[0].items() if v == 0} == {"2024-03", "2024-05"}
+    assert {k[0] for k, v in versions[2].items() if v == 2} == {"2024-02", "2024-03"} and {k[0] for k, v in versions[3].items() if v == 3} == {"2024-06"}
+    written = {p.parent.parent.name for p in (tmp_path / "s" / "days" / "version=3").rglob("*.parquet")}
+    assert written == {"year_month=2024-06"}
+    # An earlier batch can still be read, until it is cleared away.
+    early = summaries.registry.rebuild_one("s_daily_balances", base.with_tables(transactions=batches[0].selectExpr("transaction_id id", "date").distinct(), postings=batches[0].drop("date")))
+    assert rows(sr.read_summary(spark, root, "s_daily_balances", 1, base), *early.columns) == rows(early)
+    before = rows(sr.read_summary(spark, root, "s_daily_balances", 3, base))
+    sr.vacuum(spark, root, 3)
+    assert rows(sr.read_summary(spark, root, "s_daily_balances", 3, base)) == before
+    assert not list((tmp_path / "s" / "days" / "version=0" / "year_month=2024-03").rglob("*.parquet"))
+    with pytest.raises(KeyError):
+        sr.read_summary(spark, root, "s_portfolio_holdings", 3, base)
 
 
 def test_adhoc_sql_only_queries(spark, make):
@@ -305,8 +448,15 @@ def test_splits_and_transfers_survive_later_changes(spark, make):
     more, bad = post(moved, 6, "2024-07-01", 2, -3, 80)
     assert bad == [] and rows(more.lot_dispositions, "quantity", "gain_loss") == [(3, 90)]
     assert rows(more.lots, "account_id", "quantity", "cost_price") == [*held[:2], (2, 5, 50)]
-    _, bad = post(more, 8, "2024-05-15", 1, -1, 90)
-    assert bad == [(8, "out_of_order")]
-    gone = changes.amend_transactions(more, make("uuid string, delete boolean", [("6", True)]))
-    assert rows(gone.exceptions, "rule", "detail") == [("transferred_holding", "2:X")]
-    assert rows(gone.ledger.lots, "quantity") == rows(more.lots, "quantity")
+    # A sale dated before the transfer is sold from what was there then; deleting the later sale gives its lots back.
+    early, bad = post(more, 8, "2024-05-15", 1, -1, 90)
+    assert bad == [] and rows(early.lot_dispositions, "quantity", "gain_loss") == [(1, 40), (3, 90)]
+    assert rows(early.lots, "account_id", "quantity", "cost_price") == [(1, 1, 60), (1, 11, 50), (2, 5, 50)]
+    gone = changes.amend_transactions(early, make("uuid string, delete boolean", [("6", True)])).ledger.stored()
+    assert rows(gone.lots, "account_id", "quantity", "cost_price") == [(1, 1, 60), (1, 11, 50), (2, 8, 50)]
+    # Without the purchase there is nothing to transfer, which is reported; the sale takes the later lot.
+    none = changes.amend_transactions(gone, make("uuid string, delete boolean", [("1", True)]))
+    assert rows(none.exceptions, "rule", "detail") == [("transfer_insufficient_lots", "5")]
+    assert rows(none.ledger.lots, "account_id", "quantity", "cost_price") == [(1, 0, 60)]
+    undated = changes.record_transfers(gone, move.withColumn("date", F.lit(None).cast("date")))
+    assert rows(undated.exceptions, "rule", "detail") == [("transfer_undated", "5")] and undated.ledger.transfers.count() == 1

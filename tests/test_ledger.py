@@ -1,6 +1,7 @@
 """Golden cases of balances, prices, validation, reports and search."""
 
 import random
+import re
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -198,6 +199,35 @@ def test_first_rule(make):
     assert dict(rows(rules.first_rule(texts, visible)))["Shell 12"] == "Expenses:Other"
 
 
+def test_required_literals():
+    cases = {
+        "^(VIEW|CLICK) [0-4]": None, "AMZN.*MKTP": "AMZN", "^UBER +EATS$": "UBER ", "ab?cd": "cd", "abc{2}de": "ab", "ab+c": "ab", r"a\.b": "a.b", r"\d+xy": "xy",
+        "one|other": None, "(one|other) way": " way", "(?i)abc": None, "(?:x)abc": "abc", r"\Qabc": None, r"\x41bc": None, "[abc]def[^]x]gh": "def", "a": None, "": None,
+        "x(ab[)])*yz": "yz", "[[a]b]cc": None, "abc*": "ab", "(?=ab)cd": "cd",
+    }
+    assert {p: rules.required_literal(p) for p in cases} == cases
+
+
+def test_many_regexes_are_met_by_their_literals(make, spark):
+    rng = random.Random(6)
+    table = [(i, f"^{'SHOP' if i % 2 else 'CAFE'} N{i}[0-9]? (A|B).*$", "regex", f"Expenses:E{i}", None, i % 7) for i in range(10_000)]
+    texts = [f"{rng.choice(['SHOP', 'CAFE'])} N{rng.randrange(12_000)} {rng.choice('ABC')} x" for _ in range(400)] + ["", "SHOP", "N77 A"]
+    first = {}
+    for i, pattern, _, target, _, priority in table:
+        first.setdefault(pattern.split(" ")[0][1:] + " " + pattern.split(" ")[1].split("[")[0], (priority, i, target, re.compile(pattern)))
+    want = {}
+    for text in set(texts):
+        name = text[: text.rfind(" ", 0, -2)] if text.count(" ") == 3 else ""
+        near = [first[k] for k in (name, name[:-1]) if k in first]
+        hits = sorted((-p, i, t) for p, i, t, pattern in near if pattern.search(text))
+        if hits:
+            want[text] = hits[0][2]
+    found = rules.first_rule(make("text string", [(t,) for t in set(texts)]), spark.createDataFrame(table, RULES))
+    assert dict(rows(found)) == want and len(want) > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan  # no list of regexes that every text tries
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
