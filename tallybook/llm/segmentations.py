@@ -166,11 +166,13 @@ def fitted(words: list[str], counts: np.ndarray, model: str) -> np.ndarray:
 
 def learned(docs: DataFrame, model: str, text: str = "text", lang: str = "lang", order: str = "doc_id") -> DataFrame:
     """Each language's number of training texts and piece probabilities, from rows
-    with a text and a language."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(order).alias("hash")).dropna(subset=["text", "lang"])
-    shares = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")), "languages")
-    # A hash is below this with the chance SAMPLE / texts.
-    within = (F.col("hash") / 2.0**64 + 0.5) * F.col("texts") < SAMPLE
+    with a text and a language. The sample is drawn among different pairs of id and
+    text, so rows without an id, or with one id, are drawn like others, and rows that
+    repeat both count as one."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(order, text).alias("hash")).dropna(subset=["text", "lang"])
+    shares = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.approx_count_distinct("hash", 0.02).alias("different")), "languages")
+    # A hash is below this with the chance SAMPLE / different.
+    within = (F.col("hash") / 2.0**64 + 0.5) * F.col("different") < SAMPLE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +184,7 @@ def learned(docs: DataFrame, model: str, text: str = "text", lang: str = "lang",
                 schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("times", pa.int64())]),
             )
 
-    sample = rows.join(shares, "lang").filter(within).select("lang", "text").mapInArrow(count, "lang string, word string, times long")
+    sample = rows.join(shares, "lang").filter(within).dropDuplicates(["lang", "hash"]).select("lang", "text").mapInArrow(count, "lang string, word string, times long")
 
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         weights = fitted(frame["word"].tolist(), frame["times"].to_numpy(), model)
@@ -190,7 +192,7 @@ def learned(docs: DataFrame, model: str, text: str = "text", lang: str = "lang",
 
     counted = sample.groupBy("lang", "word").agg(F.sum("times").alias("times"))
     models = counted.groupBy("lang").applyInPandas(fit, "lang string, weights array<double>")
-    return stored(models.join(shares, "lang"), "unigrams")
+    return stored(models.join(shares.drop("different"), "lang"), "unigrams")
 
 
 class Judge:

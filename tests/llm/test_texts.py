@@ -214,6 +214,22 @@ PATTERNS = {
 }
 
 
+def test_languages_without_ids_or_with_one_id(spark):
+    kinds = {"aa": "etaoin", "bb": "vwxyzk", "cc": "bcdfgh"}
+    rng = random.Random(12)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(6))
+
+    rows = [(None, text(kinds["aa"]), "aa") for _ in range(1500)] + [(7, text(kinds["bb"]), "bb") for _ in range(1500)]
+    rows += [(9, "bdgf chbd " * 3, "cc")] * 1500 + [(None, None, "dd"), (1, "etaoin", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    learned = segmentations.learned(docs, MODEL)
+    assert {r.lang: r.texts for r in learned.collect()} == {"aa": 1500, "bb": 1500, "cc": 1500}
+    asked = spark.createDataFrame([(i, text(letters), lang) for i in range(30) for lang, letters in kinds.items()], "doc_id long, text string, want string")
+    assert segmentations.predict(asked, learned, MODEL).filter("lang_pred <> want").count() == 0
+
+
 def luhn(digits):
     return sum((int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10))) for i, c in enumerate(reversed(digits))) % 10 == 0
 
