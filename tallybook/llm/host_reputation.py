@@ -16,8 +16,9 @@ broadcasts or splits by size.
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 which no rule fits and which is judged like any other host; labels that name no
 page, or have no outcome, count nowhere; a page labelled several times counts
-once, as bad if any label is; an unlabelled host has its domain's posterior;
-repeated pages are judged row by row and count once as outcomes; with no labels
+once, as bad if any label is; an unlabelled host has its domain's posterior, else
+its suffix's, else that of all pages; rows that share a page id, or have none, are
+judged each, and as outcomes they count once; repeated pages are judged row by row and count once as outcomes; with no labels
 at all, everything that no rule blocks is allowed.
 """
 
@@ -35,7 +36,8 @@ TOLERATED, DEVIATIONS = 0.25, 1.6448536269514722
 LEAST_RHO, GREATEST_RHO = 0.001, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
-#: Suffixes: a country below one of these second levels, or else the last label.
+#: Suffixes: a country below one of these second levels, or else the last label. No public list is
+#: at hand, so hosts under other second levels, and sites under a shared domain, count as one domain.
 SUFFIX = r"(?:^|\.)((?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]*))$"
 LEVELS = ["suffix", "domain", "host"]
 
@@ -82,24 +84,25 @@ def outcomes(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", labe
     return once.join(labelled, F.col(page_id) == F.col("_label")).select(*LEVELS, F.col("bad").cast("long").alias("bad"))
 
 
-def posteriors(labelled: DataFrame) -> list[tuple[list[str], DataFrame, float]]:
-    """For each level its keys, its units' posteriors (``alpha``, ``beta`` and
-    ``mean``) and its prior's strength in pages."""
+def posteriors(labelled: DataFrame) -> tuple[float | None, list[tuple[list[str], DataFrame, float]]]:
+    """The mean of all pages, None without any, and for each level its keys, its units'
+    posteriors (``alpha``, ``beta`` and ``mean``) and its prior's strength in pages."""
     hosts = labelled.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    mean = ((total["b"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
     out, above = [], None
     for depth in range(len(LEVELS)):
         keys = LEVELS[: depth + 1]
         units = hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
         if above is None:
-            units = units.withColumn("p", F.lit(((total["b"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)))
+            units = units.withColumn("p", F.lit(mean))
         else:
             units = units.join(above.select(*LEVELS[:depth], F.col("mean").alias("p")), LEVELS[:depth])
         strength = _strength(units)
         alpha, beta = strength * F.col("p") + F.col("b"), strength * (1 - F.col("p")) + F.col("n") - F.col("b")
         above = units.select(*keys, alpha.alias("alpha"), beta.alias("beta"), (alpha / (alpha + beta)).alias("mean"))
         out.append((keys, above, strength))
-    return out
+    return (mean if total["n"] else None), out
 
 
 def _strength(units: DataFrame) -> float:
@@ -121,11 +124,13 @@ def judge(
     any, the posterior ``bound`` of their host, and the ``verdict``."""
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     rows = with_parts(named)
-    found, levels = rows.select(*LEVELS).distinct(), posteriors(outcomes(rows, labels))
+    found = rows.select(*LEVELS).distinct()
+    overall, levels = posteriors(outcomes(rows, labels))
     for keys, units, _ in levels:
         found = found.join(units.select(*keys, *[F.col(c).alias(f"{keys[-1]}_{c}") for c in ("alpha", "beta", "mean")]), keys, "left")
-    # A host without outcomes keeps its prior: the nearest level's mean with the host level's strength.
-    strength, prior = levels[-1][2], F.coalesce("domain_mean", "suffix_mean")
+    # A host without outcomes keeps its prior: the nearest level's mean, that of all pages at last,
+    # with the host level's strength.
+    strength, prior = levels[-1][2], F.coalesce("domain_mean", "suffix_mean", F.lit(overall).cast("double"))
     alpha = F.coalesce("host_alpha", strength * prior)
     beta = F.coalesce("host_beta", strength * (1 - prior))
     size = alpha + beta

@@ -81,10 +81,10 @@ s3 as (select host, n::double as n, b::double as b, mean as p from hosts join m2
 k3 as (
   select 1 / least(0.5, greatest(0.001, coalesce(sum((b - n * p) * (b - n * p) - n * p * (1 - p)) / nullif(sum((n - 1) * (n * p * (1 - p))), 0), 0))) - 1 as k from s3),
 known as (
-  select d.host, coalesce(k * s3.p + b, k * coalesce(m2.mean, m1.mean)) as alpha,
-    coalesce(k * (1 - s3.p) + n - b, k * (1 - coalesce(m2.mean, m1.mean))) as beta
+  select d.host, coalesce(k * s3.p + b, k * coalesce(m2.mean, m1.mean, overall.p)) as alpha,
+    coalesce(k * (1 - s3.p) + n - b, k * (1 - coalesce(m2.mean, m1.mean, overall.p))) as beta
   from (select distinct suffix, domain, host from rows) d left join m1 using (suffix) left join m2 using (suffix, domain)
-    left join s3 on s3.host = d.host, k3),
+    left join s3 on s3.host = d.host, k3, (select ((sum(b) + 0.5) / (sum(n) + 1.0))::double as p from hosts) overall),
 bounds as (
   select host, alpha / (alpha + beta)
     - 1.6448536269514722 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) as bound from known),
