@@ -391,5 +391,6 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.withColumn(f"{own}long", F.col(doc_id).cast("long")).withColumn(f"{own}text", F.xxhash64(text))
     kept = rows.join(later, (F.col(f"{own}long") == F.col(f"{own}id")) & (F.col(f"{own}text") == F.col(f"{own}key")), "left_anti")
     again = F.row_number().over(Window.partitionBy(f"{own}long", f"{own}text").orderBy(f"{own}text"))
-    once = kept.withColumn(f"{own}again", again).filter((F.col(f"{own}again") == 1) | F.col(doc_id).isNull())
-    return once.select(*docs.columns)
+    named = kept.filter(F.col(f"{own}long").isNotNull()).withColumn(f"{own}again", again).filter(F.col(f"{own}again") == 1)
+    # Rows without an id take no part in this, however many share a text.
+    return named.select(*docs.columns).unionByName(kept.filter(F.col(f"{own}long").isNull()).select(*docs.columns))
