@@ -10,9 +10,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.session import stored
+from tallybook.session import released, stored
 
-__all__ = ["bits", "broadcast_bits", "read", "slices", "stored"]
+__all__ = ["bits", "broadcast_bits", "read", "released", "slices", "stored"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.llm.common import bits, broadcast_bits, stored
+from tallybook.llm.common import bits, broadcast_bits, released, stored
 
 #: Bytes of a string that must not repeat, and of the first digit.
 THRESHOLD, GRAM = 200, 48
@@ -295,7 +295,8 @@ def _singles(contexts: DataFrame, open_: DataFrame) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """Stretches (``low`` to ``end``) of documents (doc_id, digest) whose bytes repeat; they may overlap."""
+    """Distinct stretches (``low`` to ``end``) of documents (doc_id, digest) whose bytes repeat;
+    they may overlap. Rows that share id and text share their stretches."""
     extents = _extents(rows, _first_digits(rows))
     classes = stored(
         extents.groupBy("h", "extent").agg(
@@ -303,18 +304,22 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         ),
         "runs",
     )
-    whole = extents.join(classes.filter("times > 1").select("h", "extent"), ["h", "extent"]).select(
+    whole = stored(extents.join(classes.filter("times > 1").select("h", "extent"), ["h", "extent"]).select(
         "doc_id", "digest", "low", (F.col("high") + THRESHOLD).alias("end")
-    )
+    ).distinct(), "whole")
+    released(extents)
     # First digits of several extents: one run of each extent goes on, alone or standing for others that are settled.
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("extents")).filter("extents > 1").select("h")
     wanted = stored(classes.join(several, "h").select("h", "doc_id", "digest", "low", "slot", (F.col("times") == 1).alias("alone")), "wanted")
+    released(classes)
     contexts = _contexts(rows, wanted)
+    released(wanted)
 
     blocks = _blocks(contexts)
     alike = blocks.groupBy("h", "block", "core", "extent").agg(F.count(F.lit(1)).alias("times"), F.min("run").alias("first"))
     cores = blocks.groupBy("h", "block", "core").agg(F.count(F.lit(1)).alias("all")).filter("all > 1")
     known = stored(blocks.join(cores, ["h", "block", "core"]).join(alike, ["h", "block", "core", "extent"]), "cores")
+    released(blocks)
     some = known.filter("alone and times > 1").select("run", "low", (F.col("high") + THRESHOLD).alias("end"))
     # Blocks whose core is shared but not all of their extent.
     open_ = known.filter("times < all and run = first").select("run", "low", "high", (F.col("alone") & (F.col("times") == 1)).alias("alone"))
@@ -325,7 +330,9 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         "run", F.col("suffix").alias("low"), (F.col("suffix") + THRESHOLD).alias("end")
     )
     owners = contexts.select("run", "doc_id", "digest")
-    return whole.unionByName(some.unionByName(each).join(owners, "run").drop("run"))
+    found = stored(whole.unionByName(some.unionByName(each).join(owners, "run").drop("run")).distinct(), "spans")
+    released(whole, contexts, known, singles)
+    return found
 
 
 def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

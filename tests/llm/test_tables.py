@@ -55,6 +55,16 @@ def test_bad_hosts_are_blocked_and_shrunk(spark):
     assert once["one.org"] < once["bad.org"]  # a single bad page is shrunk to its prior
 
 
+def test_suffixes_without_labels_and_repeated_pages(spark):
+    rows = [(k, f"http://h{k % 5}.bad.org/{k}") for k in range(60)] + [(100, "http://new.site/"), (None, "http://10.1.2.3/"), (None, "http://10.1.2.3/"), (1, "http://h1.bad.org/1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 0, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    found = host_reputation.judge(pages, labels, []).collect()
+    # All labelled pages are bad, so hosts of which nothing else is known are blocked too.
+    assert len(found) == len(rows) and {r.verdict for r in found} == {"block"} and all(r.bound > 0.25 for r in found)
+    assert {r.verdict for r in host_reputation.judge(pages, labels.limit(0), []).collect()} == {"allow"}
+
+
 def test_registered_domains(spark):
     rows = [("http://u@a.b.example.co.uk:80/",), ("http://disco.uk/",), ("http://10.0.0.1/",), ("http://localhost/",), ("http://x.y./",)]
     found = host_reputation.with_parts(spark.createDataFrame(rows, "url string")).collect()
@@ -172,6 +182,28 @@ def test_components_equal_brute_force(spark):
     assert {r.doc_id for r in stay.collect()} == {i for i, (n, c) in expected.items() if n == 0 or c == i}
 
 
+def test_a_passage_in_a_third_of_all_documents(spark):
+    """Documents that are mostly one passage and yet don't link, beside some that do."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(90)]
+    docs = []
+    for k in range(160):
+        own = [f"o{k}x{i}" for i in range(rng.randint(8, 14))]
+        docs.append(" ".join(passage + own if k % 2 else own + passage))
+    docs += [" ".join([*passage, *(f"s{j}x{i}" for i in range(12)), f"last{k}"]) for j in range(6) for k in range(4)]
+    docs += [" ".join(f"r{k}x{i}" for i in range(50)) for k in range(300)]
+    rows = list(enumerate(docs))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in size_aware_join.components(df).collect()} == brute_components(rows)
+
+
+def test_representatives_without_ids(spark):
+    text = "one two three four five six"
+    df = spark.createDataFrame([(None, text)] * 300 + [(None, None)] * 3 + [(4, "")] * 2 + [(4, text)] * 2, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in size_aware_join.representatives(df).collect())
+    assert kept == Counter({(None, text): 300, (None, None): 3, (4, ""): 1, (4, text): 1})
+
+
 def test_light_sets_alone_and_lists_alone_agree(spark, monkeypatch):
     docs = near_copies()
     df, expected = spark.createDataFrame(docs, "doc_id long, text string"), brute_components(docs)
@@ -233,6 +265,16 @@ def test_repeated_strings_equal_brute_force(spark, monkeypatch, part):
     suffix_windows._powers.cache_clear()
 
 
+def test_many_equal_rows_without_ids(spark):
+    rng = random.Random(7)
+    text = " ".join(str(rng.random()) for _ in range(400))
+    df = spark.createDataFrame([(None, text)] * 2000 + [(5, text)] * 500 + [(6, "a" * 199)], "doc_id long, text string").repartition(8)
+    spans = suffix_windows.repeated_spans(df.select("doc_id", F.xxhash64("text").alias("digest"), "text"))
+    assert spans.count() == spans.filter("doc_id = 5").count() * 2 < 2 * len(text) / 10
+    found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_windows.remove_repeated(df).collect())
+    assert found == Counter({(None, len(text), len(text), 1): 2000, (5, len(text), len(text), 1): 500, (6, 199, 0, 0): 1})
+
+
 # Neighbours
 
 def test_neighbours_equal_brute_force(spark):
