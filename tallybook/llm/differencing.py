@@ -44,8 +44,9 @@ JOINED = 64
 PART = 256
 #: Windows of a group.
 GROUP = 256
-#: Words a worker remembers; when they are so many, it starts afresh.
-REMEMBERED = 400_000
+#: Words of a generation: when a worker has met so many, those not met again by the time that there
+#: are as many new ones are forgotten.
+REMEMBERED = 500_000
 #: Bits of a sequence number below the partition's.
 PLACE_BITS = 40
 
@@ -54,22 +55,21 @@ PIECES = (
 )
 
 
-#: Marks that end a word, where a letter stands before and white space behind them.
-_WORD_END = re.compile(rb"(?<=[A-Za-z])([.,]+)(?=[ \t-\r]|$)")
+#: A word that ends in marks behind a letter: the tokenizer never joins the two.
+_MARKED = re.compile(rb"(.*[A-Za-z])([.,]+)", re.DOTALL)
 
 
 def _words(text: str | None) -> list[bytes]:
     """A text's words, in fewer forms than it has them, with the same ids.
 
-    The tokenizer lower-cases and never joins a letter and a mark, so capitals
-    can go and marks at word ends can stand alone. Capitals stay where they may
+    The tokenizer lower-cases, so capitals can go. They stay where they may
     matter: beside combining marks, which compose before lower-casing, and where
     a special token's brackets occur.
     """
     raw = (text or "").encode("utf-8")
     if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
         raw = raw.lower()
-    return _WORD_END.sub(rb" \1", raw).split()
+    return raw.split()
 
 
 class WordIds:
@@ -81,38 +81,48 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.met: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # A special token is cut out of a text before all else, so it can stand between words.
         special = self.tokenizer.get_added_tokens_decoder()
         self.number, self.between = next((i, t.content.encode("utf-8")) for i, t in sorted(special.items()))
 
-    def _meet(self, words: list[bytes]) -> None:
-        """Encode new words, many in one text."""
-        if not words:
-            return
-        lines = [self.between.join(words[i : i + JOINED]).decode("utf-8") for i in range(0, len(words), JOINED)]
+    def _meet(self, words: set[bytes]) -> None:
+        """Encode new words, many in one text; a word with marks is made of two."""
+        marked, plain = [], set()
+        for word in words:
+            if self.between in word:
+                self.met[word] = np.asarray(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+            elif parts := _MARKED.fullmatch(word):
+                marked.append((word, *parts.groups()))
+                plain.update(part for part in parts.groups() if part not in self.met)
+            else:
+                plain.add(word)
+        plain = list(plain)
+        lines = [self.between.join(plain[i : i + JOINED]).decode("utf-8") for i in range(0, len(plain), JOINED)]
         mark = [self.number]
         found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(chain(e.ids, mark) for e in found), "<u4")
         ends = np.flatnonzero(ids == self.number)
         data = ids.tobytes()
         starts = [0, *(4 * (ends[:-1] + 1)).tolist()]
-        self.met.update((w, data[a:b]) for w, a, b in zip(words, starts, (4 * ends).tolist(), strict=True))
+        self.met.update((w, data[a:b]) for w, a, b in zip(plain, starts, (4 * ends).tolist(), strict=True))
+        self.met.update((word, self.met[stem] + self.met[marks]) for word, stem, marks in marked)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers. No token
         reaches over ASCII white space, so words can be encoded by themselves."""
         split = [_words(t) for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(self.met)
-        if len(self.met) + len(fresh) > REMEMBERED:
-            self.met.clear()
-            fresh = set(chain.from_iterable(split))
-        self._meet([w for w in fresh if self.between not in w])
-        for word in fresh:
-            if self.between in word:
-                ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-                self.met[word] = np.asarray(ids, "<u4").tobytes()
-        take = self.met.__getitem__
-        return [b"".join(map(take, words)) for words in split]
+        found = [list(map(self.met.get, words)) for words in split]
+        fresh = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if fresh:
+            if len(self.met) + len(fresh) > REMEMBERED:
+                self.older, self.met = self.met, {}
+            known = fresh.intersection(self.older)
+            self.met.update(zip(known, map(self.older.__getitem__, known)))
+            self._meet(fresh.difference(known))
+            take = self.met.__getitem__
+            found = [[take(w) if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(split, found, strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=2)
