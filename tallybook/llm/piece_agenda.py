@@ -8,7 +8,10 @@ no merge can cross such a cut, and the pieces of a segment depend on nothing
 around it. Segments repeat, so a task keeps the pieces of those it has met.
 
 Nulls count as empty texts, which have no pieces (the end id alone, where asked
-for). Repeated rows are encoded alike. Any other columns are kept as they are.
+for). Repeated rows are encoded alike. Of pairs with equal scores the leftmost
+goes first. Texts of any length are cut into segments; one longer than
+``LONG_SEGMENT`` has a heap of its own and is not remembered. Any other columns are
+kept as they are.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from pyspark.sql import types as T
 from tallybook.llm.common import slices
 
 MARK = "▁"
-#: Segments a worker remembers; when they are so many, it starts afresh.
-REMEMBERED = 500_000
+#: Segments of a generation: when a worker has met so many, those not met again by the time that there
+#: are as many new ones are forgotten.
+REMEMBERED = 400_000
 #: Longer segments are encoded without being remembered.
 LONG_SEGMENT = 64
 #: Segments held against the library in one text.
@@ -127,6 +131,9 @@ class Agenda:
         ]
         self.pairs = PairTable(np.array(splits, np.int64), int(self.none))
         self.met: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: What the ids of a segment say by themselves; bytes from 0x80 on need their neighbours.
+        self.said: dict[bytes, str] = {}
         #: Segments encoded since the last check().
         self.fresh: list[tuple[str, bytes]] = []
 
@@ -174,9 +181,15 @@ class Agenda:
         return found
 
     def meet(self, segments: set[str]) -> None:
-        """Encode segments not met yet, those of one length at a time."""
+        """Have the ids of segments that this generation lacks: from the older one, or by
+        encoding them, those of one length at a time."""
         if len(self.met) + len(segments) > REMEMBERED:
-            self.met.clear()
+            self.older, self.met = self.met, {}
+        if len(self.said) > 2 * REMEMBERED:
+            self.said = {}
+        known = segments.intersection(self.older)
+        self.met.update(zip(known, map(self.older.__getitem__, known)))
+        segments = segments.difference(known)
         lengths: dict[int, list[str]] = {}
         for segment in segments:
             lengths.setdefault(len(segment), []).append(segment)
@@ -233,20 +246,46 @@ class Agenda:
         self.met.update(zip(segments, found))
         self.fresh.extend(zip(segments, found))
 
+    def _segment_ids(self, texts: list[str | None]) -> list[list[bytes]]:
+        """For each text, the ids of its segments."""
+        split = [self.segments(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        found = [list(map(self.met.get, segments)) for segments in split]
+        fresh = {x for segments, ids in zip(split, found, strict=True) if None in ids for x, i in zip(segments, ids, strict=True) if i is None}
+        if fresh:
+            self.meet(fresh)
+            take, long = self.met.get, self.segment_ids
+            for k, (segments, ids) in enumerate(zip(split, found, strict=True)):
+                if None in ids:  # segments too long to be remembered are encoded by themselves
+                    found[k] = [(take(x) or long(x)) if i is None else i for x, i in zip(segments, ids, strict=True)]
+        return found
+
     def encode_batch(self, texts: list[str | None], add_end: bool = False) -> list[bytes]:
         """Each text's ids as 32-bit numbers; the end id behind them if asked for. Nulls are empty texts."""
-        split = [self.segments(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.meet(set(chain.from_iterable(split)).difference(self.met))
         end = np.array([self.end] if add_end else [], np.int32).tobytes()
-        take, long = self.met.get, self.segment_ids
-        out = []
-        for segments in split:
-            found = list(map(take, segments))
-            try:
-                out.append(b"".join(found) + end)
-            except TypeError:  # segments too long to be remembered
-                out.append(b"".join([long(s) if ids is None else ids for s, ids in zip(segments, found)]) + end)
-        return out
+        return [b"".join(found) + end for found in self._segment_ids(texts)]
+
+    def code_batch(self, texts: list[str | None], add_end: bool = False) -> tuple[list[bytes], list[str]]:
+        """The same, and the texts that the ids decode to. Ids of a segment say the same
+        wherever they stand, but for bytes that their neighbours complete."""
+        end = np.array([self.end] if add_end else [], np.int32).tobytes()
+        coded, decoded = [], []
+        for found in self._segment_ids(texts):
+            coded.append(b"".join(found) + end)
+            parts = list(map(self.said.get, found))
+            if None in parts:
+                parts = [self._says(ids) if part is None else part for ids, part in zip(found, parts, strict=True)]
+            if None in parts:
+                decoded.append(self.decode(np.frombuffer(coded[-1], np.int32).tolist()))
+            else:
+                decoded.append(self._shown("".join(parts)))
+        return coded, decoded
+
+    def _says(self, ids: bytes) -> str | None:
+        numbers = np.frombuffer(ids, np.int32).tolist()
+        if not self.high_bytes.isdisjoint(numbers):
+            return None
+        self.said[ids] = found = "".join(map(self.decoded.__getitem__, numbers))
+        return found
 
     def encode(self, text: str | None, add_end: bool = False) -> list[int]:
         return np.frombuffer(self.encode_batch([text], add_end)[0], np.int32).tolist()
@@ -267,6 +306,10 @@ class Agenda:
                 parts.append(self.decoded[i])
             parts.append(run.decode("utf-8", "replace"))
             text = "".join(parts)
+        return self._shown(text)
+
+    @staticmethod
+    def _shown(text: str) -> str:
         return (text[1:] if text[:1] == MARK else text).replace(MARK, " ")
 
     def check(self) -> None:
@@ -290,19 +333,30 @@ def agenda(model: str) -> Agenda:
     return Agenda(model)
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:
-    """``df`` with a column that ``make`` fills from the values of another; one of that name is replaced."""
-    schema = T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, kind)])
-    kept = [f.name for f in schema][:-1]
+def _with(df: DataFrame, added: dict[str, T.DataType], source: str, make) -> DataFrame:
+    """``df`` with columns that ``make`` fills from the values of another; ones of those names are replaced."""
+    kept = [f.name for f in df.schema if f.name not in added]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, kind) for c, kind in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch, source):
-                yield pa.RecordBatch.from_arrays([*map(part.column, kept), make(values)], [*kept, name])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), *make(values)], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _lists(found: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(ids) // 4 for ids in found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def _checked(own: Agenda, check: bool) -> None:
+    if check:
+        own.check()
+    own.fresh.clear()
+
+
 def encode(
     df: DataFrame, model: str, text: str = "text", out: str = "ids", add_end: bool = True, check: bool = True
 ) -> DataFrame:
@@ -310,23 +364,34 @@ def encode(
     for the first time against the sentencepiece library, a batch at a time, and
     fails on any difference."""
 
-    def make(texts: list[str | None]) -> pa.Array:
+    def make(texts: list[str | None]) -> list[pa.Array]:
         own = agenda(model)
         found = own.encode_batch(texts, add_end)
-        if check:
-            own.check()
-        own.fresh.clear()
-        ends = np.cumsum([0, *(len(ids) // 4 for ids in found)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        _checked(own, check)
+        return [_lists(found)]
 
-    return _with(df, out, T.ArrayType(T.IntegerType()), text, make)
+    return _with(df, {out: T.ArrayType(T.IntegerType())}, text, make)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of an id column; null ids give an empty text."""
 
-    def make(lists: list[list[int] | None]) -> pa.Array:
+    def make(lists: list[list[int] | None]) -> list[pa.Array]:
+        own = agenda(model)
+        return [pa.array([own.decode(x or []) for x in lists], pa.string())]
+
+    return _with(df, {out: T.StringType()}, ids, make)
+
+
+def code(
+    df: DataFrame, model: str, text: str = "text", ids: str = "ids", out: str = "decoded", add_end: bool = True, check: bool = True
+) -> DataFrame:
+    """Add the ids of a text column and the text that they decode to, in one pass."""
+
+    def make(texts: list[str | None]) -> list[pa.Array]:
         own = agenda(model)
-        return pa.array([own.decode(x or []) for x in lists], pa.string())
+        found, decoded = own.code_batch(texts, add_end)
+        _checked(own, check)
+        return [_lists(found), pa.array(decoded, pa.string())]
 
-    return _with(df, out, T.StringType(), ids, make)
+    return _with(df, {ids: T.ArrayType(T.IntegerType()), out: T.StringType()}, text, make)

@@ -163,8 +163,7 @@ def op6_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with an end id, and the text decoded from them."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = piece_agenda.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
-    return piece_agenda.decode(coded, model).select(
+    return piece_agenda.code(read(spark, sf_dir, "documents").select("doc_id", "text"), model).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
