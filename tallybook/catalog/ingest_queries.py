@@ -501,6 +501,53 @@ def landed_quotes(b: Binding) -> DataFrame:
     return upsert_prices(b.empty_table("prices"), arrived)
 
 
+@query("S9", """
+    SELECT p_brand AS item, CASE WHEN max(p_size) % 3 <> 0 THEN max(p_retailprice)::DECIMAL(18,2) END AS price,
+           CASE max(p_size) % 3 WHEN 0 THEN CASE WHEN max(p_size) % 2 = 0 THEN 'not found' ELSE 'price in USD not available' END END AS error
+    FROM part GROUP BY 1""", price="decimal(18,2)")
+def landed_coins(b: Binding) -> DataFrame:
+    """Brands as coins, some not listed and some listed without a price in dollars; prices and errors together."""
+    size = F.max("p_size")
+    brands = b.table("part").groupBy("p_brand").agg(size.alias("size"), F.max("p_retailprice").alias("top"))
+    listed = brands.filter("size % 3 <> 0 or size % 2 <> 0").select(
+        F.lower("p_brand").alias("coin"), F.when(F.col("size") % 3 == 0, "eur").otherwise("usd").alias("currency"), "top"
+    )
+    quoted = listed.groupBy(F.lit("2002-01-01").alias("date")).agg(
+        F.map_from_entries(F.collect_list(F.struct("coin", F.create_map("currency", "top")))).alias("quotes")
+    )
+    path = scratch_path(b.spark, "coins")
+    quoted.write.json(path)
+    good, bad = quotes.coin_prices(b.spark.read.schema(quotes.COIN_SCHEMA).json(path), brands.select(F.col("p_brand").alias("coin")))
+    priced = good.select(F.initcap(F.lower("commodity")).alias("item"), "price", F.lit(None).cast("string").alias("error"))
+    return priced.unionByName(bad.select("item", F.lit(None).cast("decimal(18,8)").alias("price"), "error"))
+
+
+@query("S9 M2", """
+    SELECT 'USD/' || upper(n_name) AS item, CASE WHEN n_regionkey <> 3 THEN (1 + n_nationkey * 0.25)::DECIMAL(18,2) END AS price,
+           CASE WHEN n_regionkey = 3 THEN 'rate not available' END AS error FROM nation""", price="decimal(18,2)")
+def landed_rates(b: Binding) -> DataFrame:
+    """A rate per nation as if it had a currency of its own; none for one region."""
+    rates = b.table("nation").filter("n_regionkey <> 3").groupBy(F.lit("2002-01-01").alias("date"), F.lit("usd").alias("base_code")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.upper("n_name").alias("c"), (1 + F.col("n_nationkey") * 0.25).alias("r")))).alias("conversion_rates")
+    )
+    path = scratch_path(b.spark, "rates")
+    rates.write.json(path)
+    wanted = b.table("nation").select(F.lit("usd").alias("base"), F.col("n_name").alias("quote"))
+    good, bad = quotes.forex_rates(b.spark.read.schema(quotes.FOREX_SCHEMA).json(path), wanted)
+    rated = good.select(F.concat_ws("/", "commodity", "currency").alias("item"), "price", F.lit(None).cast("string").alias("error"))
+    return rated.unionByName(bad.select("item", F.lit(None).cast("decimal(18,8)").alias("price"), "error"))
+
+
+@query("S9 M2", """
+    SELECT commodity, date, CASE WHEN day(date) = 1 THEN price + 1 ELSE price END::DECIMAL(18,8) AS price,
+           CASE WHEN day(date) = 1 THEN 'manual' ELSE 'market' END AS source FROM commodity_prices""")
+def manual_prices(b: Binding) -> DataFrame:
+    """Prices of every month's first day entered by hand over the market's."""
+    typed = b.commodity_prices.filter(F.dayofmonth("date") == 1).select("commodity", "currency", "date", (F.col("price") + 1).alias("price"))
+    entered = quotes.manual_prices(typed).withColumn("seq", F.lit(1).cast("long"))
+    return upsert_prices(b.commodity_prices, entered).select("commodity", "date", "price", "source")
+
+
 @query("S10", "SELECT id::VARCHAR AS id, account_id::VARCHAR AS account_id, amount::VARCHAR AS amount, currency FROM postings")
 def exported_csv(b: Binding) -> DataFrame:
     path = scratch_path(b.spark, "csv")
