@@ -371,6 +371,20 @@ def preview_totals(proposals: DataFrame, previewed: DataFrame) -> DataFrame:
     return proposals.select("proposal_id", *KEYS, "quantity").join(sums, "proposal_id", "left").na.fill(0)
 
 
+# The texts of warnings.
+WARN_QUANTITY = "Quantity must be positive"
+WARN_PRICE = "No price found for {}. Provide sell_price explicitly."
+WARN_LOCKED = "Lot {} (acquired {}) is locked until {}"
+WARN_SHORT = "Insufficient lots: requested {}, available {}"
+
+
+def _text(template: str, *values: Column) -> Column:
+    """A template with its gaps filled; NULL where a value is."""
+    parts = template.split("{}")
+    filled = [x for part, value in zip(parts, values) for x in (F.lit(part), value.cast("string"))]
+    return F.concat(*filled, F.lit(parts[-1]))
+
+
 def preview_warnings(
     proposals: DataFrame, previewed: DataFrame, accounts: DataFrame, prices: DataFrame
 ) -> DataFrame:
@@ -379,24 +393,20 @@ def preview_warnings(
     priced = priced_proposals(proposals, accounts, prices)
     refused = priced.select(
         "proposal_id", no_lot,
-        F.when(F.col("quantity") <= 0, F.lit("Quantity must be positive"))
-        .when(F.col("price").isNull(), F.concat(
-            F.lit("No price found for "), F.col("commodity"), F.lit(". Provide sell_price explicitly.")
-        )).alias("warning"),
+        F.when(F.col("quantity") <= 0, F.lit(WARN_QUANTITY))
+        .when(F.col("price").isNull(), _text(WARN_PRICE, F.col("commodity"))).alias("warning"),
     ).filter(F.col("warning").isNotNull())
-    locked = previewed.filter("locked").select("proposal_id", "lot_id", F.concat(
-        F.lit("Lot "), F.col("lot_id").cast("string"), F.lit(" (acquired "), F.col("acquired_date").cast("string"),
-        F.lit(") is locked until "), F.col("lock_until").cast("string"),
-    ).alias("warning"))
+    locked = previewed.filter("locked").select(
+        "proposal_id", "lot_id", _text(WARN_LOCKED, F.col("lot_id"), F.col("acquired_date"), F.col("lock_until")).alias("warning")
+    )
     sold = previewed.groupBy("proposal_id").agg(F.sum("quantity_from_lot").alias("sold"))
     short = (
         priced.filter((F.col("quantity") > 0) & F.col("price").isNotNull())
         .join(sold, "proposal_id", "left")
         .withColumn("sold", F.coalesce(F.col("sold").cast("decimal(28,8)"), F.lit(0).cast("decimal(28,8)")))
         .filter(F.col("sold") < F.col("quantity"))
-        .select("proposal_id", no_lot, F.concat(
-            F.lit("Insufficient lots: requested "), F.col("quantity").cast("string"),
-            F.lit(", available "), F.col("sold").cast(proposals.schema["quantity"].dataType).cast("string"),
+        .select("proposal_id", no_lot, _text(
+            WARN_SHORT, F.col("quantity"), F.col("sold").cast(proposals.schema["quantity"].dataType)
         ).alias("warning"))
     )
     return refused.unionByName(locked).unionByName(short)

@@ -76,10 +76,6 @@ TABLES: dict[str, T.StructType] = {
     ),
     "raw_extractions": _schema(("source_file_id", _L), ("row_index", _L), ("raw_data", _S)),
     "budgets": _schema(("account_id", _L), ("year_month", _S), ("currency", _S), ("amount", MONEY)),
-    "recurring_transactions": _schema(
-        ("id", _L), ("payee", _S), ("narration", _S), ("frequency", _S), ("next_date", _D),
-        ("template_postings", _S),
-    ),
 }
 
 MAPPING_SCHEMA = _schema(

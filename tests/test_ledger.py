@@ -237,6 +237,16 @@ def _distance(a, b):
     return row[-1]
 
 
+def test_many_names_with_one_beginning(make, spark):
+    names = [f"Assets:Bank:{c}{i:05d}" for i in range(20_000) for c in "xX"[i % 2]] + ["assets:bank:x00001", "ASSETS:BANK:X00003"]
+    found = matching.match_accounts(make("query string", [("assets:bank:",), ("Assets:Bank:X00001",)]), make("name string", [(n,) for n in names]))
+    by_query = {}
+    for r in found.collect():
+        by_query.setdefault(r["query"], {})[r["rank"]] = (r["name"], r["score"])
+    assert [by_query["assets:bank:"][k] for k in range(1, 6)] == [(n, 0.95) for n in sorted(names)[:5]]
+    assert [by_query["Assets:Bank:X00001"][k] for k in (1, 2)] == [("Assets:Bank:X00001", 1.0), ("assets:bank:x00001", 1.0)]
+
+
 def test_account_match_equals_brute_force(make, monkeypatch):
     monkeypatch.setattr(matching, "SHARE", 2)
     rng = random.Random(11)
