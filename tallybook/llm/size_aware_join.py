@@ -18,8 +18,11 @@ A list of many sets is not paired up. In each of a few rounds every set meets on
 pivot, of those that its lists offer in other components the one it shares most
 of its prefix with; exact verification makes links, links merge components, and
 lists whose sets hang together drop out. Only what is left in lists of several
-components is paired, across components alone, so no link is lost. Equal sets are
-one class from the start.
+components is paired, across components alone, so no link is lost, and only where
+sizes, places and signatures allow a link. A signature has for each of ``SIGNED``
+slots of hashes whether a set has an odd number of members there; two sets differ
+in at least as many members as their signatures do in slots. Near copies that
+just don't link mostly end there. Equal sets are one class from the start.
 
 What is broadcast has fixed sizes: ``FREQUENT`` shingles and ``KNOWN_SLOTS`` bits for
 the order, which change the work but never the result, and ``SLOTS`` bits for sets to
@@ -56,6 +59,8 @@ KNOWN, KNOWN_SLOTS = np.uint64(1 << 62), 1 << 26
 LIGHT_MOST = 20
 ROUNDS = 3
 SLOTS = 1 << 22
+#: Slots of a signature, a multiple of 64.
+SIGNED = 512
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -94,6 +99,12 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def signature(members: np.ndarray) -> np.ndarray:
+    """Parities of a set's members in ``SIGNED`` slots, as 64-bit numbers."""
+    odd = np.bincount((members >> np.uint64(7)).astype(np.int64) % SIGNED, minlength=SIGNED) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _frequent(docs: DataFrame) -> np.ndarray:
     """The most frequent shingles, rarest first."""
 
@@ -156,7 +167,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         (often, places), repeated = often_known.value, bits(repeated_known)
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                sizes, digests, tokens, at, light = [], [], [], [], []
+                sizes, digests, tokens, at, light, signs = [], [], [], [], [], []
                 for members in shingle_sets(texts):
                     n = len(members)
                     sizes.append(n)
@@ -174,18 +185,20 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     tokens.append(members[first[place]].view(np.int64))
                     at.append(place.astype(np.int32))
                     light.append(members.tobytes() if n <= LIGHT_MOST else None)
+                    signs.append(signature(members))
                 ends = pa.array(np.cumsum([0, *map(len, tokens)], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens), pa.int64())),
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(at), pa.int32())), pa.array(light, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1, dtype=np.int32) * (SIGNED // 64)), pa.array(np.concatenate(signs))),
                     ],
-                    ["doc_id", "text_key", "n", "digest", "tokens", "places", "light"],
+                    ["doc_id", "text_key", "n", "digest", "tokens", "places", "light", "sign"],
                 )
 
     return docs.mapInArrow(
-        run, "doc_id long, text_key long, n int, digest binary, tokens array<long>, places array<int>, light binary"
+        run, "doc_id long, text_key long, n int, digest binary, tokens array<long>, places array<int>, light binary, sign array<long>"
     )
 
 
@@ -288,10 +301,20 @@ def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
+def _needed() -> Column:
+    return F.ceil(PERCENT * (F.col("n") + F.col("pivot_n")) / F.lit(100 + PERCENT))
+
+
+def _signs_allow() -> Column:
+    """Signatures differ in no more slots than linked sets may differ in members."""
+    differing = [F.bit_count(F.get("sign", F.lit(k)).bitwiseXOR(F.get("pivot_sign", F.lit(k)))) for k in range(SIGNED // 64)]
+    return sum(differing[1:], differing[0]) <= F.col("n") + F.col("pivot_n") - 2 * _needed()
+
+
 def _may_link(most: int) -> Column:
     """Of two sets that meet in a list: sizes, places in the order and the boundary allow a link."""
     n, m = F.col("n"), F.col("pivot_n")
-    needed = F.ceil(PERCENT * (n + m) / F.lit(100 + PERCENT))
+    needed = _needed()
     rest = 1 + F.least(n - F.col("place") - 1, m - F.col("pivot_place") - 1)
     return (F.least(n, m) * 100 >= PERCENT * F.greatest(n, m)) & (rest >= needed) & (F.greatest(n, m) > most)
 
@@ -326,7 +349,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     signatures = stored(_signatures(named, _frequent(named)), "signatures")
     there = signatures.filter("n > 0 and doc_id is not null")
     classes = stored(
-        there.groupBy("digest").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", "tokens", "places", "light")])
+        there.groupBy("digest").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", "tokens", "places", "light", "sign")])
         .withColumn("set_id", F.monotonically_increasing_id()),
         "classes",
     )
@@ -359,9 +382,9 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             votes = met.groupBy("set_id", "pivot").agg(F.count(F.lit(1)).alias("c"))
             pairs = votes.groupBy(F.col("set_id").alias("a")).agg(F.max_by("pivot", F.struct("c", "pivot")).alias("b"))
         else:
-            rows = stored(rows.join(open_.select("token"), "token"), "open")
-            other = rows.select("token", *[F.col(c).alias(f"pivot_{c}") for c in ("set_id", "n", "place", "comp")])
-            across = (F.col("comp") < F.col("pivot_comp")) & _may_link(most)
+            rows = stored(rows.join(open_.select("token"), "token").join(classes.select("set_id", "sign"), "set_id"), "open")
+            other = rows.select("token", *[F.col(c).alias(f"pivot_{c}") for c in ("set_id", "n", "place", "comp", "sign")])
+            across = (F.col("comp") < F.col("pivot_comp")) & _may_link(most) & _signs_allow()
             pairs = rows.join(other, "token").filter(across).select(F.col("set_id").alias("a"), F.col("pivot_set_id").alias("b")).distinct()
         found = merged(found, _verified(pairs, members))
 
