@@ -279,6 +279,31 @@ def test_account_match_equals_brute_force(make, monkeypatch):
         assert got.get(q, set()) == {(n, round(-s, 9)) for s, n in best}, q
 
 
+def test_match_lists_are_not_broadcast(make):
+    """Listed variants and pieces are hundreds of times the rows Spark expects of them."""
+    queries = make("query_key string", [("liabilities:bank:00012",)])
+    names = make("name_key string, low string", [(f"liabilities:bank:{i:05d}", f"Liabilities:Bank:{i:05d}") for i in range(50)])
+    for pairs in (
+        matching._near_candidates(queries, names, 0.85, 1), matching._near_candidates(queries, names, 0.85, 2), matching._edit_candidates(queries, names, 0.85),
+    ):
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.count() > 0
+
+
+def test_dense_names_are_matched_in_full(make):
+    """Numbers of which many are two and three edits apart."""
+    rng = random.Random(5)
+    names = sorted({f"liabilities:nation_{rng.randrange(25)}:customer#{rng.randrange(10_000):09d}" for _ in range(150)})
+    queries = [n[:-2] + n[-1] for n in names[::10]] + ["liabilities:nation_1:customer#00000"]
+    got = {}
+    for q, n, s, _ in rows(matching.match_accounts(make("query string", [(q,) for q in queries]), make("name string", [(n,) for n in names])), "query", "name", "score", "rank"):
+        got.setdefault(q, set()).add((n, round(s, 9)))
+    for q in queries:
+        scored = [(0.95 if n.startswith(q) else 1 - _distance(q, n) / max(len(q), len(n)), n) for n in names]
+        best = sorted((-s, n) for s, n in scored if s >= 0.85)[:5]
+        assert got.get(q, set()) == {(n, round(-s, 9)) for s, n in best}, q
+
+
 def test_resolve(make):
     accounts = make("id long, name string", [(1, "Assets:Bank:Checking"), (2, "Assets:Bank:Savings")])
     got = matching.resolve_accounts(make("query string", [("Assets:Bank:Savings",), ("Assets:Bank:Chekcing",), ("savings",), ("nope",)]), accounts)
