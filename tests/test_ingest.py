@@ -71,6 +71,22 @@ def test_header_and_footer(spark, folder):
     assert statements.statement_rows(lines, 2, 99).count() == 0
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"user={i}").mkdir()
+        (tmp_path / f"user={i}" / "a.csv").write_text("a,b\n1,2\n")
+    context = spark.sparkContext
+    context.setJobGroup("many-folders", "")
+    try:
+        lines = statements.read_lines(spark, str(tmp_path))
+        tracker = context.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup("many-folders") for s in tracker.getJobInfo(j).stageIds]
+        assert max(tracker.getStageInfo(s).numTasks for s in stages) <= 64
+        assert lines.count() == 200
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_lines_of_one_file_over_many_splits(spark, tmp_path):
     path = tmp_path / "big"
     path.mkdir()
