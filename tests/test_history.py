@@ -225,3 +225,9 @@ def test_many_demands_of_one_holding(make, spark):
                     want.append((number, row[0], used))
                 wanted -= used
         assert [tuple(map(int, r)) for r in got] == sorted(want, key=lambda r: tuple(str(v) for v in r))
+
+
+def test_shuffles_are_dealt_by_bytes(spark):
+    """Few partitions are set here; what a task gets is bounded all the same."""
+    dealt = spark.range(6_000_000).repartition("id").groupBy("id").count()
+    assert dealt.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
