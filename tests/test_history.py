@@ -231,3 +231,24 @@ def test_shuffles_are_dealt_by_bytes(spark):
     """Few partitions are set here; what a task gets is bounded all the same."""
     dealt = spark.range(6_000_000).repartition("id").groupBy("id").count()
     assert dealt.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_fifo_moves_rows_once(make):
+    lots, sales = make(LOTS, [(1, 2, "X", 5, 5, "USD", "2024-01-01")]), make(SALES, [(2, 2, "X", 3, 2, "USD", "2024-02-01", 2)])
+    plan = lh.match_fifo(lots, sales)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_fifo_passes_over_lots_of_nothing(make):
+    lots = make(LOTS, [(1, 2, "X", 3, 5, "USD", "2024-01-01"), (2, 2, "X", 0, 5, "USD", "2024-01-02"), (3, 2, "X", 4, 6, "USD", "2024-01-03")])
+    sales = make(SALES, [(4, 2, "X", 3, 2, "USD", "2024-02-01", 4), (5, 2, "X", 2, 2, "USD", "2024-02-02", 5)])
+    for bits in (1, 20):
+        assert rows(lh.match_fifo(lots, sales, bits), "lot_id", "sale_id", "quantity") == [(1, 4, 3.0), (3, 5, 2.0)]
+
+
+def test_custody_side_derives_no_orders(spark):
+    from tallybook.catalog import binding
+
+    root = "/root/testdata/../testdata/sf0.001"
+    assert binding.Binding(spark, root).books.postings.isEmpty()
+    assert {key[2] for key in binding._written if key[1] == root} == {"accounts", "commodity_prices"}
