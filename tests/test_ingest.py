@@ -335,6 +335,18 @@ def test_statement_stream(spark, folder, tmp_path):
     assert ss.read_state(spark, root, 3, start).transactions.count() == 5
 
 
+def test_streamed_statements_derive_accounts_alone(spark, tmp_path):
+    from tallybook.catalog.binding import Binding
+    from tallybook.catalog.ingest_queries import streamed_statements
+
+    for name in ("customer", "nation", "part", "supplier"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("user_id < 3").write.parquet(str(tmp_path / "events.parquet"))
+    found = rows(streamed_statements(Binding(spark, str(tmp_path))), "account", "n")  # there are no orders here to derive
+    n = spark.read.parquet(str(tmp_path / "events.parquet")).filter("round(value, 2) <> 0").count()
+    assert dict(found)["Assets:Bank:Checking"] == n and sum(k for _, k in found) == 2 * n
+
+
 def test_near_duplicates_read_the_months_around_a_batch(spark, folder, tmp_path):
     ledger, rules = Ledger.empty(spark), spark.createDataFrame(RULES, TABLES["categorization_rules"])
     raw = statements.read_statements(spark, str(folder), recursive=False).withColumn("source_file_id", F.lit(5).cast("long"))
