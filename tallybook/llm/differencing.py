@@ -55,8 +55,10 @@ PIECES = (
 )
 
 
-#: A word that ends in marks behind a letter: the tokenizer never joins the two.
-_MARKED = re.compile(rb"(.*[A-Za-z])([.,]+)", re.DOTALL)
+#: A word that ends in marks behind a letter (A to Z, or of U+00C0 to U+00FF): the tokenizer never joins the two.
+_MARKED = re.compile(rb"(.*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,#$%&*]+)", re.DOTALL)
+#: A word of such letters alone, which the tokenizer keeps in one.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -85,6 +87,20 @@ class WordIds:
         # A special token is cut out of a text before all else, so it can stand between words.
         special = self.tokenizer.get_added_tokens_decoder()
         self.number, self.between = next((i, t.content.encode("utf-8")) for i, t in sorted(special.items()))
+        # Ids that end a run of letters, where the tokenizer marks them.
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocab.values()) + 1, bool)
+        self.ending[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+
+    def _ids(self, words: list[bytes], between: bytes, behind: list[int] = []) -> np.ndarray:
+        """The words' ids, ``JOINED`` of them in one text, with ``behind`` after each text."""
+        lines = [between.join(words[i : i + JOINED]).decode("utf-8") for i in range(0, len(words), JOINED)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) if lines else []
+        return np.fromiter(chain.from_iterable(chain(e.ids, behind) for e in found), "<u4")
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        data = ids.tobytes()
+        self.met.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, starts[: len(words)], ends, strict=True))
 
     def _meet(self, words: set[bytes]) -> None:
         """Encode new words, many in one text; a word with marks is made of two."""
@@ -92,37 +108,41 @@ class WordIds:
         for word in words:
             if self.between in word:
                 self.met[word] = np.asarray(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-            elif parts := _MARKED.fullmatch(word):
-                marked.append((word, *parts.groups()))
-                plain.update(part for part in parts.groups() if part not in self.met)
+            elif word[-1] in b".,#$%&*" and (parts := _MARKED.fullmatch(word)):
+                stem, marks = parts.groups()
+                marked.append((word, stem, marks))
+                if stem not in self.met:
+                    plain.add(stem)
+                if marks not in self.met:
+                    plain.add(marks)
             else:
                 plain.add(word)
+        letters = list(filter(_LETTERS.fullmatch, plain)) if self.ending.any() else []
+        ids = self._ids(letters, b" ")
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) == len(letters):
+            self._keep(letters, ids, [0, *ends[:-1].tolist()], ends.tolist())
+            plain.difference_update(letters)
         plain = list(plain)
-        lines = [self.between.join(plain[i : i + JOINED]).decode("utf-8") for i in range(0, len(plain), JOINED)]
-        mark = [self.number]
-        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(chain(e.ids, mark) for e in found), "<u4")
+        ids = self._ids(plain, self.between, [self.number])
         ends = np.flatnonzero(ids == self.number)
-        data = ids.tobytes()
-        starts = [0, *(4 * (ends[:-1] + 1)).tolist()]
-        self.met.update((w, data[a:b]) for w, a, b in zip(plain, starts, (4 * ends).tolist(), strict=True))
+        self._keep(plain, ids, [0, *(ends[:-1] + 1).tolist()], ends.tolist())
         self.met.update((word, self.met[stem] + self.met[marks]) for word, stem, marks in marked)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers. No token
         reaches over ASCII white space, so words can be encoded by themselves."""
         split = [_words(t) for t in texts]
-        found = [list(map(self.met.get, words)) for words in split]
-        fresh = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        words = set(chain.from_iterable(split))
+        fresh = words.difference(self.met)
         if fresh:
             if len(self.met) + len(fresh) > REMEMBERED:
-                self.older, self.met = self.met, {}
+                self.older, self.met, fresh = self.met, {}, words
             known = fresh.intersection(self.older)
             self.met.update(zip(known, map(self.older.__getitem__, known)))
             self._meet(fresh.difference(known))
-            take = self.met.__getitem__
-            found = [[take(w) if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(split, found, strict=True)]
-        return [b"".join(ids) for ids in found]
+        take = self.met.__getitem__
+        return [b"".join(map(take, words)) for words in split]
 
 
 @lru_cache(maxsize=2)

@@ -67,6 +67,30 @@ def test_a_difference_from_the_library_fails():
 
 # Packing
 
+def test_marks_are_no_new_words():
+    """Symbols behind a known word, also one that ends in an accented letter, need no encoding of the whole."""
+    words = ["stem", "año", "tué", "×", "a×", "naïf", "ÀÉ", "x'", "e\u0301", "1"]
+    texts = [w + m for w in words for m in ("", "###", "%.%", "$,&", "*", "'s#", "<|#")]
+    own = differencing.WordIds(WORDS)
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids == b"".join(i.to_bytes(4, "little") for i in TOKENIZER.encode(text, add_special_tokens=False).ids), text
+    assert {b"stem", b"###", "año".encode(), b"%.%"} <= own.met.keys()
+    met = differencing.WordIds(WORDS)
+    met.encode(["año ###"])
+    met._meet = lambda fresh, meet=met._meet: (meet(fresh), seen.update(fresh))
+    seen, sent = set(), []
+    encode = met.tokenizer.encode_batch_fast
+
+    class Counting:
+        def encode_batch_fast(self, lines, **options):
+            sent.extend(lines)
+            return encode(lines, **options)
+
+    met.tokenizer = Counting()
+    met.encode(["año###"])
+    assert seen == {"año###".encode()} and sent == []
+
+
 def test_word_ids_equal_the_tokenizers():
     own, texts = differencing.word_ids(WORDS), [None, "", *odd_texts(3000)]
     for text, ids in zip(texts, own.encode(texts), strict=True):
