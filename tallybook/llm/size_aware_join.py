@@ -18,8 +18,9 @@ A list of many sets is not paired up. In each of a few rounds every set meets on
 pivot, of those that its lists offer in other components the one it shares most
 of its prefix with; exact verification makes links, links merge components, and
 lists whose sets hang together drop out. Only what is left in lists of several
-components is paired, across components alone, so no link is lost, and only where
-sizes, places and signatures allow a link. A signature has for each of ``SIGNED``
+components is paired, across components alone, so no link is lost, only where
+sizes, places and signatures allow a link, and but for sets of very many lists once,
+in the first list that two sets share. A signature has for each of ``SIGNED``
 slots of hashes whether a set has an odd number of members there; two sets differ
 in at least as many members as their signatures do in slots. Near copies that
 just don't link mostly end there. Equal sets are one class from the start.
@@ -43,15 +44,16 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import bits, broadcast_bits, slices, stored
+from tallybook.llm.common import SLICE, bits, broadcast_bits, stored
 
 #: Words of a shingle, and the least similarity of a link in percent.
 WORDS, PERCENT = 5, 80
-#: Shingles that the shared order puts last, and texts' shingles counted at a time with the count that reports one.
+#: Shingles that the shared order puts last, and texts' shingles counted at a time with the count of so many that reports one.
 FREQUENT, COUNTED, REPORTED = 1 << 17, 4_000_000, 4
 #: Shingles of the lowest quarter of hashes, which are counted all, and bits to tell which of them repeat.
 KNOWN, KNOWN_SLOTS = np.uint64(1 << 62), 1 << 26
@@ -59,25 +61,103 @@ KNOWN, KNOWN_SLOTS = np.uint64(1 << 62), 1 << 26
 LIGHT_MOST = 20
 ROUNDS = 3
 SLOTS = 1 << 22
+#: Lists of a set by which the last round knows pairs that have met before.
+EARLIER = 64
 #: Slots of a signature, a multiple of 64.
 SIGNED = 512
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: What a byte adds to its word's hash, A to Z as a to z; the places of a word's bytes count as powers of ``_BASE``.
+_BYTES = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]).lower(), digest_size=8).digest() for i in range(256)), np.uint64)
+_BASE = 0x9E3779B97F4A7C13
+#: Bytes hashed at a time, and the powers for them.
+_STEP = 1 << 15
+_WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_STEP, base, np.uint64)]))
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie one behind the other in ``data``, and where the words start.
+
+    ``cuts`` are the places where texts start or end. A word's hash is the sum of what its
+    bytes add, by their place in the word: the difference of two running sums.
+    """
+    white = _WHITE[data]
+    ahead, behind = np.ones((2, len(data) + 1), bool)  # a place ends what stands before it, or begins what stands behind it
+    ahead[1:], behind[:-1] = white, white
+    ahead[cuts] = behind[cuts] = True
+    starts, ends = np.flatnonzero(ahead[:-1] & ~white), np.flatnonzero(behind[1:] & ~white) + 1
+    hashes, sums = np.empty(len(starts), np.uint64), np.empty(_STEP + 1, np.uint64)
+    first = last = 0
+    before, up, down = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+    # Of a word that ends in another step than it starts, ``hashes`` holds the sum before it and ``scale`` the power.
+    scale = np.empty(len(starts), np.uint64)
+    for at in range(0, len(data), _STEP):
+        part = data[at : at + _STEP]
+        sums[0] = 0
+        np.cumsum(_BYTES[part] * _UP[: len(part)], out=sums[1 : len(part) + 1])
+        sums *= up
+        sums += before
+        to = first + int(np.searchsorted(starts[first:], at + len(part)))
+        hashes[first:to] = sums[starts[first:to] - at]
+        scale[first:to] = _DOWN[starts[first:to] - at] * down
+        first = to
+        to = last + int(np.searchsorted(ends[last:], at + len(part), "right"))
+        hashes[last:to] = (sums[ends[last:to] - at] - hashes[last:to]) * scale[last:to]
+        last = to
+        before, up, down = sums[len(part) : len(part) + 1].copy(), up * _UP[_STEP], down * _DOWN[_STEP]
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= _MIX
+    hashes ^= hashes >> np.uint64(29)
+    return hashes, starts
+
+
+def _mixed(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    count = len(hashes) - width + 1
+    mixed = np.full(count, width, np.uint64)
+    for k in range(width):
+        mixed ^= hashes[k : k + count]
+        mixed *= _MIX
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted 64-bit hashes of each text's distinct shingles; of a text with
     fewer words than a shingle, that of its whole sequence."""
-    digest = xxhash.xxh3_64_intdigest
-    for text in texts:
-        words = text.encode("utf-8").lower().split() if text else []  # of bytes, lower() means A to Z
-        hashes = np.fromiter(map(digest, words), np.uint64, len(words))
-        width = min(WORDS, len(words))
-        count = len(words) - width + 1 if width else 0
-        mixed = np.full(count, width, np.uint64)
-        for k in range(width):
-            mixed = (mixed ^ hashes[k : k + count]) * _MIX
-            mixed ^= mixed >> np.uint64(29)
-        yield np.unique(mixed)
+    texts = texts.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    cuts = ends - ends[0]
+    hashes, starts = _word_hashes(data, cuts)
+    runs = _mixed(hashes, WORDS) if len(hashes) >= WORDS else None
+    of = np.searchsorted(starts, cuts).tolist()
+    for low, high in zip(of[:-1], of[1:], strict=True):
+        n = high - low
+        if n < WORDS:
+            yield _mixed(hashes[low:high], n) if n else np.zeros(0, np.uint64)
+            continue
+        members = np.sort(runs[low : high - WORDS + 1])
+        fresh = np.ones(len(members), bool)
+        np.not_equal(members[1:], members[:-1], out=fresh[1:])
+        yield members if fresh.all() else members[fresh]
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """An Arrow batch in parts of bounded size, each with its texts' sets."""
+    texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 16)
+    start = 0
+    while start < len(batch):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, "right")))
+        yield batch.slice(start, stop - start), list(shingle_sets(texts[start:stop]))
+        start = stop
 
 
 def overlap(n: int, m: int) -> int:
@@ -113,12 +193,13 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
         def settle() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(waiting) if waiting else np.zeros(0, np.uint64), return_counts=True)
-            often = times >= REPORTED
+            # Fewer suffice of fewer shingles, else the order would hang on how the input is split.
+            often = times >= max(2, REPORTED * held // COUNTED)
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["token", "times"])
 
         for batch in batches:
-            for _, texts in slices(batch, "text"):
-                for members in shingle_sets(texts):
+            for _, sets in _parts(batch):
+                for members in sets:
                     waiting.append(members)
                     held += len(members)
                 if held >= COUNTED:
@@ -143,8 +224,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in slices(batch, "text"):
-                sets = list(shingle_sets(texts))
+            for _, sets in _parts(batch):
                 known = [members[: np.searchsorted(members, KNOWN)].view(np.int64) for members in sets]
                 marks = [xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63) for members in sets]
                 owners = np.repeat(np.array(marks, np.int64), [len(x) for x in known])
@@ -166,9 +246,9 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (often, places), repeated = often_known.value, bits(repeated_known)
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, sets in _parts(batch):
                 sizes, digests, tokens, at, light, signs = [], [], [], [], [], []
-                for members in shingle_sets(texts):
+                for members in sets:
                     n = len(members)
                     sizes.append(n)
                     digests.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
@@ -311,6 +391,14 @@ def _signs_allow() -> Column:
     return sum(differing[1:], differing[0]) <= F.col("n") + F.col("pivot_n") - 2 * _needed()
 
 
+def _with_earlier(rows: DataFrame) -> DataFrame:
+    """The rows, each with what comes before it of the first ``EARLIER`` shingles that its
+    set has in lists. Two sets that share one of these have met in its list before."""
+    own = rows.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "token"))), 1, EARLIER).alias("own"))
+    earlier = F.transform(F.filter("own", lambda x: x["place"] < F.col("place")), lambda x: x["token"])
+    return stored(rows.join(own, "set_id").withColumn("earlier", earlier).drop("own"), "earlier")
+
+
 def _may_link(most: int) -> Column:
     """Of two sets that meet in a list: sizes, places in the order and the boundary allow a link."""
     n, m = F.col("n"), F.col("pivot_n")
@@ -327,9 +415,9 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, sent = bits(known), set()
         for batch in batches:
-            for _, texts in slices(batch, "text"):
+            for _, every in _parts(batch):
                 digests, sets = [], []
-                for members in shingle_sets(texts):
+                for members in every:
                     digest = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
                     if there[int.from_bytes(digest[:3], "big") % SLOTS] and digest not in sent:
                         sent.add(digest)
@@ -382,9 +470,9 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             votes = met.groupBy("set_id", "pivot").agg(F.count(F.lit(1)).alias("c"))
             pairs = votes.groupBy(F.col("set_id").alias("a")).agg(F.max_by("pivot", F.struct("c", "pivot")).alias("b"))
         else:
-            rows = stored(rows.join(open_.select("token"), "token").join(classes.select("set_id", "sign"), "set_id"), "open")
-            other = rows.select("token", *[F.col(c).alias(f"pivot_{c}") for c in ("set_id", "n", "place", "comp", "sign")])
-            across = (F.col("comp") < F.col("pivot_comp")) & _may_link(most) & _signs_allow()
+            rows = _with_earlier(stored(rows.join(open_.select("token"), "token").join(classes.select("set_id", "sign"), "set_id"), "open"))
+            other = rows.select("token", *[F.col(c).alias(f"pivot_{c}") for c in ("set_id", "n", "place", "comp", "sign", "earlier")])
+            across = (F.col("comp") < F.col("pivot_comp")) & _may_link(most) & _signs_allow() & ~F.arrays_overlap("earlier", "pivot_earlier")
             pairs = rows.join(other, "token").filter(across).select(F.col("set_id").alias("a"), F.col("pivot_set_id").alias("b")).distinct()
         found = merged(found, _verified(pairs, members))
 

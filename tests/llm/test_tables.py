@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +213,41 @@ def test_light_sets_alone_and_lists_alone_agree(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in size_aware_join.components(df).collect()} == expected
 
 
+def test_frequent_shingles_do_not_hang_on_the_split(spark):
+    """A shingle that each of many small parts has twice comes last in the order."""
+    docs = [(i, " ".join(["one two three four five", *(f"x{i}y{k}" for k in range(9))])) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(10, "doc_id")
+    shared = next(size_aware_join.shingle_sets(pa.array(["One two three four five"])))
+    assert size_aware_join._frequent(df).tolist() == shared.tolist()
+
+
+def test_sets_of_several_lists_meet_once(spark):
+    """In the last round two sets are a pair in the first list that they share."""
+    rows = [(s, 40, t, place, s) for s in range(3) for place, t in enumerate((7, 5, 90 + s, 6))]
+    rows = size_aware_join._with_earlier(spark.createDataFrame(rows, "set_id long, n int, token long, place int, comp long"))
+    other = rows.toDF(*[c if c == "token" else f"pivot_{c}" for c in rows.columns])
+    met = rows.join(other, "token").filter("set_id < pivot_set_id").filter(~F.arrays_overlap("earlier", "pivot_earlier"))
+    assert sorted(met.select("set_id", "pivot_set_id", "token").collect()) == [(0, 1, 7), (0, 2, 7), (1, 2, 7)]
+
+
+def test_shingles_are_those_of_the_words(monkeypatch):
+    """Sets of texts with odd white space, nulls and words that reach over the steps of the hash."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aAbBé \t\n\x0b\x0c\r\x1c\x00") for _ in range(rng.choice((0, 3, 40, 200)))) for _ in range(300)]
+    texts += [None, "", " ", "a b c d", "A B C D", "a b c d e f"]
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {()} for w in words]
+    for step in (7, 1 << 15):
+        monkeypatch.setattr(size_aware_join, "_STEP", step)
+        monkeypatch.setattr(size_aware_join, "_UP", size_aware_join._powers(size_aware_join._BASE))
+        monkeypatch.setattr(size_aware_join, "_DOWN", size_aware_join._powers(pow(size_aware_join._BASE, -1, 1 << 64)))
+        found = list(size_aware_join.shingle_sets(pa.array([None, *texts])[1:]))
+        assert [len(x) for x in found] == [len(x) for x in sets]
+        assert len(set(np.concatenate(found).tolist())) == len(set().union(*sets))
+        for i in range(1, len(sets)):
+            assert len(np.intersect1d(found[i - 1], found[i])) == len(sets[i - 1] & sets[i])
+
+
 def test_copies_without_ids_and_empty_tables(spark):
     text = "one two three four five six"
     df = spark.createDataFrame([(7, text), (7, text), (3, text), (None, text), (9, "other"), (9, "words here")], "doc_id long, text string")
