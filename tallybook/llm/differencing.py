@@ -28,7 +28,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +55,8 @@ PIECES = (
 )
 
 
-#: A word that ends in marks behind a letter (A to Z, or of U+00C0 to U+00FF): the tokenizer never joins the two.
-_MARKED = re.compile(rb"(.*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,#$%&*]+)", re.DOTALL)
+#: Marks that the tokenizer never joins to a letter (A to Z, or of U+00C0 to U+00FF) before them, and such letters beyond A to Z.
+_MARKS, _ACCENTED = b".,#$%&*", re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]")
 #: A word of such letters alone, which the tokenizer keeps in one.
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
@@ -104,12 +104,13 @@ class WordIds:
 
     def _meet(self, words: set[bytes]) -> None:
         """Encode new words, many in one text; a word with marks is made of two."""
-        marked, plain = [], set()
+        marked, plain, special = [], set(), self.between in b" ".join(words)
         for word in words:
-            if self.between in word:
+            stem = word.rstrip(_MARKS)
+            if special and self.between in word:
                 self.met[word] = np.asarray(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-            elif word[-1] in b".,#$%&*" and (parts := _MARKED.fullmatch(word)):
-                stem, marks = parts.groups()
+            elif len(stem) < len(word) and (stem[-1:].isalpha() or _ACCENTED.fullmatch(stem[-2:])):
+                marks = word[len(stem) :]
                 marked.append((word, stem, marks))
                 if stem not in self.met:
                     plain.add(stem)
@@ -133,16 +134,19 @@ class WordIds:
         """Each text's ids as little-endian unsigned 32-bit numbers. No token
         reaches over ASCII white space, so words can be encoded by themselves."""
         split = [_words(t) for t in texts]
-        words = set(chain.from_iterable(split))
-        fresh = words.difference(self.met)
+        words = list(chain.from_iterable(split))
+        found = list(map(self.met.get, words))
+        fresh = {word for word, ids in zip(words, found) if ids is None}
         if fresh:
             if len(self.met) + len(fresh) > REMEMBERED:
-                self.older, self.met, fresh = self.met, {}, words
+                self.older, self.met, fresh = self.met, {}, set(words)
             known = fresh.intersection(self.older)
             self.met.update(zip(known, map(self.older.__getitem__, known)))
             self._meet(fresh.difference(known))
-        take = self.met.__getitem__
-        return [b"".join(map(take, words)) for words in split]
+            take = self.met.__getitem__
+            found = [take(word) if ids is None else ids for word, ids in zip(words, found)]
+        ids = iter(found)
+        return [b"".join(islice(ids, len(words))) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -152,35 +156,27 @@ def word_ids(path: str) -> WordIds:
 
 def differenced(sizes: list[int], windows: int) -> list[list[int]]:
     """Karmarkar-Karp: the items of each of so many windows, with nearly equal sums."""
-    # A partial partition: sums less their least, falling, and the tree of items behind each.
+    # A partial partition: its filled windows, fullest first, each with its sum, negated, and the tree of items behind it.
     nodes: list[tuple[int, int] | None] = [None] * len(sizes)  # of merged trees, behind the items themselves
-    partial = {}
-    agenda = []
-    for i, size in enumerate(sizes):
-        sums, trees = np.zeros(windows, np.int64), np.full(windows, -1, np.int64)
-        sums[0], trees[0] = size, i
-        if windows == 1:
-            sums[0] = 0
-        partial[i] = (sums, trees)
-        agenda.append((-size, i))
+    partial = {i: [(-size, i)] for i, size in enumerate(sizes)}
+    agenda = [(-size if windows > 1 else 0, i) for i, size in enumerate(sizes)]
     heapify(agenda)
     number = len(sizes)
     while len(agenda) > 1:
-        a_sums, a_trees = partial.pop(heappop(agenda)[1])
-        b_sums, b_trees = partial.pop(heappop(agenda)[1])
-        sums, trees, other = a_sums + b_sums[::-1], a_trees.copy(), b_trees[::-1]
-        trees[trees < 0] = other[trees < 0]
-        both = np.flatnonzero((a_trees >= 0) & (other >= 0))
-        trees[both] = np.arange(len(nodes), len(nodes) + len(both))
-        nodes.extend(zip(a_trees[both].tolist(), other[both].tolist()))
-        order = np.argsort(-sums, kind="stable")
-        sums, trees = sums[order] - sums[order[-1]], trees[order]
-        partial[number] = (sums, trees)
-        heappush(agenda, (-int(sums[0]), number))
+        a, b = partial.pop(heappop(agenda)[1]), partial.pop(heappop(agenda)[1])
+        # The fullest windows of the one meet the other's empty ones, where it has enough.
+        apart, over = windows - len(b), len(a) + len(b) - windows
+        merged = a + b if over <= 0 else a[:apart] + b[: windows - len(a)]
+        for (one, left), (two, right) in zip(a[apart:], reversed(b)) if over > 0 else ():
+            merged.append((one + two, len(nodes)))
+            nodes.append((left, right))
+        merged.sort()
+        partial[number] = merged
+        heappush(agenda, (merged[0][0] - (merged[-1][0] if len(merged) == windows else 0), number))
         number += 1
     out = []
-    for tree in partial[agenda[0][1]][1].tolist() if agenda else []:
-        items, open_ = [], [tree] if tree >= 0 else []
+    for _, tree in partial[agenda[0][1]] if agenda else []:
+        items, open_ = [], [tree]
         while open_:
             node = open_.pop()
             if nodes[node] is None:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import re
 import zlib
 
@@ -106,6 +107,15 @@ def test_every_item_is_packed_once_within_capacity(sizes):
     assert all(sum(sizes[i] for i in w) <= 100 for w in windows)
 
 
+def test_partial_partitions_hold_filled_windows_alone():
+    """What a merge costs goes by the filled windows, not by all."""
+    tracemalloc.start()
+    found = differencing.differenced([3] * 500, 20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(w for w in found if w) == [[i] for i in range(500)] and peak < 2_000_000
+
+
 def test_differencing_balances():
     # The classic example: 8, 7, 6, 5, 4 in two windows differ by 2.
     sizes = [8, 7, 6, 5, 4]
