@@ -52,8 +52,8 @@ SHARD, REACH = 4096, 16
 DEGREE, BELOW = 12, 8
 #: Beams for building and, at first, for searching, and how far below the bound searches go on.
 BUILDING, BEAM, MARGIN = 48, 96, 0.1
-#: Vectors searched together, opened at a time, and the part of them that audits draw.
-BLOCK, OPENED, AUDITED = 512, 4, 8
+#: Vectors searched together, opened at a time (at least, and the part of a beam), and the part of them that audits draw.
+BLOCK, OPENED, WIDE, AUDITED = 512, 4, 12, 8
 #: What single precision may be off by.
 SLACK = 1e-4
 
@@ -181,7 +181,7 @@ class Graph:
             seen[rows, entry] = True
             met.append((rows[fresh & (sim >= least)], entry[fresh & (sim >= least)]))
         live = rows
-        opened = min(OPENED, beam)
+        opened = min(beam, max(OPENED, beam // WIDE))  # a wide beam in steps as many as a narrow one's
         while len(live):
             waiting = np.where(shut[live], -3, sims[live])
             best = np.argpartition(-waiting, opened - 1, axis=1)[:, :opened]
@@ -477,7 +477,7 @@ def components(
     classes = stored(classes.select(
         F.monotonically_increasing_id().alias("class_id"), "label", "key", "check", F.size("vector").alias("size"), "vector", "n", "least_id"
     ), "vectors")
-    shards = classes.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    shards = classes.groupBy("label", "size").agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) / shard)).cast("int").alias("shards"))
     dealt = classes.join(shards, ["label", "size"]).select(
         "label", "size", F.pmod(F.xxhash64("key", F.lit(2)), F.col("shards")).cast("int").alias("shard"), "class_id", "n", "vector"
     )
